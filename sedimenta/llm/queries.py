@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import packing, splitting
+from . import neardup, packing, spam, splitting
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,37 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_containers": p6_containers}
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): compiled_truth, or summary where that is null or blank."""
+    blank = "compiled_truth is null or trim(regexp_replace(compiled_truth, '[\\\\s\\\\p{Z}]', ' ')) = ''"
+    pages = table(spark, sf_dir, "mem_pages")
+    return pages.select(F.col("page_id").alias("id"), F.expr(f"case when {blank} then summary else compiled_truth end").alias("text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _page_texts(spark, sf_dir)
+    links, members = neardup.near_duplicates(texts)
+    pairs = neardup.all_pairs(links, members, texts)
+    return pairs.select(F.col("a").alias("page_id_a"), F.col("b").alias("page_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _page_texts(spark, sf_dir)
+    links, members = neardup.near_duplicates(texts)
+    out = neardup.groups(texts, links, members)
+    return out.withColumnRenamed("id", "page_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_words", *(F.round(c, 4).alias(c) for c in ("stuffed_share", "relative", "sentences")), "flagged")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents"))).where("flagged").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p6_containers": p6_containers, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
