@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import neardup, packing, spam, splitting
+from . import leakage, neardup, packing, spam, splitting
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,19 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id")
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with a common stretch or a close passage, and what it amounts to."""
+    pairs = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("cosine").alias("cosine"), F.max("answer_found").alias("answer_found"))
+    verdict = F.when(F.col("coverage") >= leakage.COVER, "leak").when((F.col("cosine") >= leakage.PARAPHRASE) & F.col("answer_found"), "paraphrase").otherwise("partial")
+    return pairs.withColumn("verdict", verdict)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(pairs).select("doc_id", "item_id").distinct()
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", *(F.round(c, 4).alias(c) for c in ("stuffed_share", "relative", "sentences")), "flagged")
@@ -59,7 +72,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents"))).where("flagged").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p6_containers": p6_containers, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
