@@ -8,8 +8,8 @@ similarity itself.
 
 Candidates. Registers are banded; texts that agree in a whole band meet in one bucket. Buckets of one text are dropped before
 anything else is attached. Within a bucket, a pair goes on only if 4-bit sketches of all registers agree as often as they would
-at the threshold, less a margin of about three standard deviations; so a bucket of texts that share boilerplate yields
-comparisons but no rows. Candidates are then verified on the texts themselves.
+at the threshold, less a margin of two and a half standard deviations; so a bucket of texts that share boilerplate yields
+comparisons but hardly a row. A large bucket is cut into groups, and every two groups are compared in a task of their own. Candidates are then verified on the texts themselves.
 
 Exact copies are folded first (map side), whatever their number: one of each class is signed and compared. Pairs between texts
 that differ are all kept; pairs within a class of copies come out in full for classes of up to FULL_CLASS pages, and as
@@ -112,11 +112,62 @@ def _sign(weighted: bool, n: int, least: int, m: int, rows: int):
     return sign
 
 
-def _agree(n_longs: int) -> str:
-    """SQL: how many of the registers' 4-bit sketches agree."""
-    x = ["(a.sketch[{0}] ^ b.sketch[{0}])".format(i) for i in range(n_longs)]
-    one = "bit_count(({0} | shiftrightunsigned({0}, 1) | shiftrightunsigned({0}, 2) | shiftrightunsigned({0}, 3)) & 1229782938247303441L)"
-    return f"{16 * n_longs} - (" + " + ".join(one.format(v) for v in x) + ")"
+#: Rows of a bucket up to which its pairs are one task's work; a larger one is cut into groups, and each two groups meet in a cell.
+CELL = 2000
+
+
+def _equal_nibbles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the registers' 4-bit sketches agree, row by row."""
+    d = x ^ y
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return 16 * x.shape[1] - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def _compare(least: int, longs: int):
+    """Rows sorted by (key, c1, c2), grouped in cells -> distinct pairs of ids whose sketches agree in `least` registers or more."""
+
+    def pairs(key: np.ndarray, side: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> np.ndarray:
+        n = len(ids)
+        end = np.searchsorted(key, key, side="right") if n else key
+        out, d, i = [], 1, np.arange(n)
+        while len(i := i[end[i] > i + d]):
+            for a in range(0, len(i), 65536):
+                x = i[a : a + 65536]
+                y = x + d
+                ok = side[x] != side[y]
+                x, y = x[ok], y[ok]
+                ok = _equal_nibbles(sk[x], sk[y]) >= least
+                if ok.any():
+                    p, q = ids[x[ok]], ids[y[ok]]
+                    out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            d += 1
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in it:
+            if not b.num_rows:
+                continue
+            cols = [b[n].to_numpy(zero_copy_only=False) for n in ("key", "c1", "c2", "grp", "id")]
+            sk = b["sketch"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, longs)
+            held.append((*cols, sk))
+            key, c1, c2, grp, ids, sk = (np.concatenate(x) for x in zip(*held))
+            cell = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]).astype(np.int64))
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            # Within a cell of one group every two rows meet; in a cell of two groups only rows of different groups.
+            side = np.where(c1 == c2, np.arange(len(ids)), grp)
+            got = pairs(cell[:cut], side[:cut], ids[:cut], sk[:cut])
+            held = [tuple(x[cut:] for x in (key, c1, c2, grp, ids, sk))]
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        if held and len(held[0][0]):
+            key, c1, c2, grp, ids, sk = held[0]
+            got = pairs(np.zeros(len(ids), np.int64), np.where(c1 == c2, np.arange(len(ids)), grp), ids, sk)
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    return run
 
 
 def similarity(left: list[str | None], right: list[str | None], n: int = SHINGLE, least_words: int = LEAST_WORDS) -> np.ndarray:
@@ -147,7 +198,7 @@ def _verify(threshold: float, n: int, least: int):
 
 def classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) -> (members: id, rep, class_size), (reps: id, text). Copies have the same text to the byte."""
-    keyed = texts.select("id", "text", F.xxhash64("text").alias("h1"), F.crc32(F.reverse("text")).alias("h2"), F.length("text").alias("h3"))
+    keyed = texts.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("h3"))
     key = ["h1", "h2", "h3"]
     small = keyed.select("id", *key)
     size = small.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("class_size"))
@@ -176,15 +227,14 @@ def near_duplicates(
     signed = materialize(reps.mapInArrow(_sign(weighted, n, least_words, m, rows), "id long, keys array<long>, sketch array<long>"), "signatures")
     buckets = signed.select("id", F.explode("keys").alias("key"))
     # One exchange by key: the bucket's size comes from a window over it.
-    buckets = buckets.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1").select("id", "key")
-    met = materialize(buckets, "buckets").join(signed.select("id", "sketch"), "id")
-    least = threshold + (1 - threshold) / 16 - 3.2 * (0.25 / m) ** 0.5
-    found = (
-        met.alias("a")
-        .join(met.alias("b"), F.expr(f"a.key = b.key and a.id < b.id and {_agree(m // 16)} >= {int(least * m)}"))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
+    buckets = buckets.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
+    groups_ = F.ceil(F.col("n") / CELL).cast("int")
+    buckets = buckets.withColumn("g", groups_).withColumn("grp", F.when(F.col("g") > 1, F.pmod(F.xxhash64("id"), "g").cast("int")).otherwise(0))
+    cells = buckets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("id", "key", "grp", F.least("grp", "other").alias("c1"), F.greatest("grp", "other").alias("c2"))
+    met = cells.join(signed.select("id", "sketch"), "id").repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    least = threshold + (1 - threshold) / 16 - 2.5 * (0.25 / m) ** 0.5
+    found = met.select("key", "c1", "c2", "grp", "id", "sketch").mapInArrow(_compare(int(least * m), m // 16), "a long, b long").distinct()
     by_id = texts.select("id", "text")
     pairs = found.join(by_id.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         by_id.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
