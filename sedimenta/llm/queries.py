@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, neardup, packing, spam, splitting
+from . import leakage, neardup, packing, pii, spam, splitting
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,37 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id")
 
 
+_FIELD = ["record_table", "record_id", "field_name"]
+
+
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_table, record_id, field_name, value) of the free-text fields of knowledge_gaps and mem_pages."""
+
+    def fields(name: str, key: str, columns: list[str]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in columns)))
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), each.alias("f"))
+        return rows.select("record_table", "record_id", "f.field_name", "f.value")
+
+    return fields("knowledge_gaps", "gap_id", ["query_text", "redacted_query"]).unionByName(fields("mem_pages", "page_id", ["compiled_truth"]))
+
+
+def _given(spark: SparkSession, sf_dir: str) -> list[str]:
+    pages = table(spark, sf_dir, "mem_pages").where("slug like 'people/%' or lower(trim(page_type)) in ('person', 'people')")
+    return pii.given_names(pages, "title")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.propose(_free_texts(spark, sf_dir), _FIELD, "value", _given(spark, sf_dir))
+    taken = pii.accept(spans, pii.fit(spans))
+    return taken.select(*_FIELD, F.col("kind").alias("pii_kind")).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, given = _free_texts(spark, sf_dir), _given(spark, sf_dir)
+    model = pii.fit(pii.propose(texts, _FIELD, "value", given))
+    return pii.redact(texts, _FIELD, "value", given, model).where("redacted is not null")
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair with a common stretch or a close passage, and what it amounts to."""
     pairs = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -72,7 +103,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents"))).where("flagged").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
