@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy as hi
 from ..operators import intervals as iv
 from ..sources.tables import table
 
@@ -42,7 +43,26 @@ def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(iv.periods(_both(spark, sf_dir)))
 
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods}
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hi.parent_edges(table(spark, sf_dir, "links"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hi.cycles(_edges(spark, sf_dir)).select(F.col("cycle_id").alias("cycle_page_id"), F.col("node").alias("page_id"))
+
+
+def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hi.hierarchy(_edges(spark, sf_dir))
+    return out.withColumn("path", F.array_join("path", "/"))
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything below each page whose id is divisible by 50: the stated queries of this search, against all places."""
+    tree = hi.materialize(hi.hierarchy(_edges(spark, sf_dir)), "tree")
+    return hi.descendants(tree, tree.select("page_id").where("page_id % 50 = 0"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants}
 
 _SPANS = r"""
 WITH raw AS (
@@ -63,7 +83,44 @@ WITH raw AS (
   FROM days WHERE lo <= hi
 )"""
 
+_CYCLES = r"""
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT child, parent FROM (
+    SELECT from_page_id AS child, to_page_id AS parent FROM links WHERE lower(trim(relationship)) = 'parent'
+    UNION ALL SELECT to_page_id, from_page_id FROM links WHERE lower(trim(relationship)) = 'child'
+  ) WHERE child IS NOT NULL AND parent IS NOT NULL
+), reach AS (
+  SELECT child AS a, parent AS b FROM edges
+  UNION SELECT r.a, e.parent FROM reach r JOIN edges e ON e.child = r.b
+), cyc AS (
+  SELECT x.a AS node, min(x.b) AS cycle_id FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1
+)"""
+_TREE = (
+    _CYCLES
+    + """, kept AS (
+  SELECT e.child, e.parent FROM edges e LEFT JOIN cyc c ON c.node = e.child LEFT JOIN cyc p ON p.node = e.parent
+  WHERE e.child <> e.parent AND (c.cycle_id IS NULL OR p.cycle_id IS NULL OR c.cycle_id <> p.cycle_id)
+), pages AS (SELECT child AS page FROM edges UNION SELECT parent FROM edges
+), tree AS (
+  SELECT page, CAST(NULL AS BIGINT) AS parent, [page] AS path FROM pages WHERE page NOT IN (SELECT child FROM kept)
+  UNION ALL SELECT k.child, k.parent, list_append(t.path, k.child) FROM tree t JOIN kept k ON k.parent = t.page
+), numbered AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS pre FROM tree
+), below AS (
+  SELECT a.pre, count(*) AS n FROM numbered a JOIN numbered b ON len(b.path) > len(a.path) AND b.path[1:len(a.path)] = a.path GROUP BY 1
+)"""
+)
+
 SQL = {
+    "p5_found": _CYCLES + " SELECT cycle_id AS cycle_page_id, node AS page_id FROM cyc",
+    "p5_hierarchy": _TREE
+    + """
+SELECT t.page AS page_id, t.parent AS parent_id, t.path[1] AS root_id, len(t.path) - 1 AS depth, array_to_string(t.path, '/') AS path,
+       t.pre AS pre, t.pre + coalesce(b.n, 0) AS post, coalesce(b.n, 0) AS n_descendants, c.cycle_id AS cycle_page_id
+FROM numbered t LEFT JOIN below b ON b.pre = t.pre LEFT JOIN cyc c ON c.node = t.page""",
+    "p5_descendants": _TREE
+    + """
+SELECT DISTINCT a.page AS page_id, b.page AS descendant_id
+FROM numbered a JOIN numbered b ON len(b.path) > len(a.path) AND b.path[1:len(a.path)] = a.path WHERE a.page % 50 = 0""",
     "p2_found": _SPANS
     + """
 SELECT DISTINCT record_table, entity_key,
