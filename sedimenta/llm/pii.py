@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, ship
 from . import words as wd
@@ -334,9 +335,8 @@ def propose(texts: DataFrame, keys: list[str], text_col: str, given: list[str])
     """keys + (start, end, kind, votes, shape): the candidate spans of all texts, written once."""
     ship(texts.sparkSession)
     rows = texts.where(F.col(text_col).isNotNull()).select(*keys, F.col(text_col).alias("__text"))
-    schema = rows.select(*keys).schema
-    for name, kind in (("start", "int"), ("end", "int"), ("kind", "string"), ("votes", "string"), ("shape", "string")):
-        schema = schema.add(name, kind)
+    more = (("start", T.IntegerType()), ("end", T.IntegerType()), ("kind", T.StringType()), ("votes", T.StringType()), ("shape", T.StringType()))
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(n, t) for n, t in more])
     return materialize(rows.mapInArrow(_propose(given_hashes([*GIVEN, *given]), keys), schema), "spans")
 
 
@@ -373,7 +373,7 @@ def redact(texts: DataFrame, keys: list[str], text_col: str, given: list[str], m
     """keys + (redacted, n_spans): every text with the accepted spans replaced, in one pass without a shuffle."""
     hashes, scores = given_hashes([*GIVEN, *given]), {k: p for k, p in model.items() if p >= ACCEPT}
     rows = texts.select(*keys, F.col(text_col).alias("__text"))
-    schema = rows.select(*keys).schema.add("redacted", "string").add("n_spans", "int")
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("redacted", T.StringType()), T.StructField("n_spans", T.IntegerType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
