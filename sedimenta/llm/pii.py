@@ -94,7 +94,7 @@ _AFTER_FR = re.compile(r",? (?:rue|avenue|boulevard|place|chemin|allée|impasse|
 _BEFORE_NO = re.compile(r"\b(?:calle|c/|rue|via|avenida|avda\.?|av\.?|plaza|paseo|carrer|camino|viale|piazza|avenue|boulevard|chemin|allée|place|quai)\s+(?:(?:de|la|las|los|el|del|du|des|le)\s+){0,2}[^\W\d_][\w'’-]*(?:\s[A-ZÀ-Þ][\w'’-]*){0,2},?\s*(?:n[°º.]?\s*)?$", re.I)
 _BEFORE_DE = re.compile(r"[^\W\d_]{3,}(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer|damm)\s+(?:nr\.?\s*)?$", re.I)
 _BEFORE_BOX = re.compile(r"(?:\bp\.? ?o\.? ?box|\bpost(?:al)? (?:office )?box|\bpostfach|\bapartado(?: de correos)?|\bbo[iî]te postale|\bcasella postale|\bbox)\s*(?:no\.?|number|nr\.?|#)?\s*$", re.I)
-_TOWN = re.compile(r"(?:,\s(?:[Aa]pt|[Uu]nit|[Ss]uite|[Ff]lat|[Rr]oom)\.?\s\d{1,4})?,?\s{1,2}(?:\d{4,5}\s+)?[A-ZÀ-Þ][^\W\d_]+(?:[ '’-][A-ZÀ-Þ][^\W\d_]+)?(?:,?\s+[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}|,\s[A-Z]{2}\s\d{5})?|,?\s+[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b")
+_TOWN = re.compile(r"(?:,\s(?:[Aa]pt|[Uu]nit|[Ss]uite|[Ff]lat|[Rr]oom)\.?\s\d{1,4})?,?\s{1,2}(?:\d{4,5}\s+)?[A-ZÀ-Þ][^\W\d_]+(?!\w)(?:[ '’-][A-ZÀ-Þ][^\W\d_]+(?!\w))?(?:,?\s+[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}|,\s[A-Z]{2}\s\d{5})?|,?\s+[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b")
 _UNIT = re.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite|room|floor)\s*\d{1,4}[a-z]?|[A-ZÀ-Þ][\w'’-]+ House),?\s{1,2}$", re.I)
 _ADDRESS_NEAR = re.compile(r"(?:shipped to|lives? at|courier|site visit|address|deliver|office at|visit|send to|sent to|moved to|based at|at|to|:|\n)\W*$", re.I)
 _COUNT_NEAR = re.compile(r"\b(?:after|took|with|for|of|counted|asked for|version|page|step|turn|build|order|on|in|at least|about|until)\s*$", re.I)

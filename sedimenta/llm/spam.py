@@ -8,7 +8,7 @@ and is clearly more redundant than usual, or about as usual with half of its wor
 Defined results
 * null and empty texts, and texts without words, are not flagged and have no blocks.
 * language is compared in lower case; a missing or odd language counts with all texts of the same script.
-* classes with fewer than LEAST_BLOCKS blocks use the median of their script, and that failing of all blocks of the length.
+* classes with fewer than LEAST_BLOCKS texts use the median of their script, and that failing of all blocks of the length.
 * repeated rows of one id are one text's blocks repeated, which changes no share; ties are not stuffed; other columns are ignored.
 """
 
@@ -117,10 +117,12 @@ def score_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = materialize(rows.mapInArrow(measure, _SCHEMA), "blocks")
     # Medians by language, script and length: one small row each, however large the corpus.
+    # A text counts once in a class, however many blocks or repeated rows it has there.
+    each = found.groupBy("doc_id", "lang", "script", "length_class").agg(F.avg("ratio").alias("ratio"))
     usual = []
     for keys in (["lang", "script"], ["script"], []):
         name = f"m{len(keys)}"
-        m = found.groupBy(*keys, "length_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias(name), F.count("*").alias("n"))
+        m = each.groupBy(*keys, "length_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias(name), F.count("*").alias("n"))
         usual.append((keys, name, m.where(f"n >= {LEAST_BLOCKS}").drop("n") if keys else m.drop("n")))
     out = found
     for keys, _, m in usual:
