@@ -6,6 +6,7 @@ built-in expressions; the porter mode uses an Arrow function. Only pages that ho
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import porter
-from ..session import ship
+from ..session import materialize, ship
 
 COLUMNS = ("title", "slug", "compiled_truth", "timeline")
 K1, B = 1.2, 0.75
@@ -227,16 +228,17 @@ def raw_match(node: Raw) -> Column:
     return found
 
 
-def bm25(indexed: DataFrame, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
-    """indexed pages with score, for those that match one (or every) clause. scope: a function of the matched pages.
-
-    Phrases occurring in a query twice count twice. A phrase in at least half of the pages weighs 1e-6.
-    """
+def count_phrases(indexed: DataFrame, query: list[list[list[str]]]) -> DataFrame:
+    """The index's narrow columns with f0, f1, ...: how often each phrase of the query occurs in a page. Written once, so that the
+    statistics and every tier read counts and not texts."""
     flat = [p for clause in query for p in clause]
-    if not flat:
-        return indexed.where("false").withColumn("score", F.lit(0.0))
     counted = indexed.withColumns({f"f{i}": phrase_count(p) for i, p in enumerate(flat)})
-    aggs = [F.count("*").alias("n"), F.avg("dl").alias("avg")] + [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(flat))]
+    return materialize(counted.drop(*(f"t_{c}" for c in COLUMNS), "compiled_truth", "timeline", "frontmatter"), "counted")
+
+
+def score_counts(counted: DataFrame, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
+    n_phrases = sum(len(clause) for clause in query)
+    aggs = [F.count("*").alias("n"), F.avg("dl").alias("avg")] + [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n_phrases)]
     s = counted.agg(*aggs).first()  # one row, whatever the size of the index
     n, avg = s["n"], s["avg"] or 1.0
     score, at, hits = F.lit(0.0), 0, []
@@ -244,10 +246,7 @@ def bm25(indexed: DataFrame, query: list[list[list[str]]], every: bool, scope=No
         hit = F.lit(False)
         for _ in clause:
             f, m = F.col(f"f{at}"), s[f"n{at}"]
-            ratio = (n - m + 0.5) / (m + 0.5)
-            import math
-
-            idf = max(math.log(ratio), 1e-6) if math.log(ratio) > 0 else 1e-6
+            idf = max(math.log((n - m + 0.5) / (m + 0.5)), 0.0) or 1e-6
             score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avg))).otherwise(0.0)
             hit = hit | (f > 0)
             at += 1
@@ -255,10 +254,20 @@ def bm25(indexed: DataFrame, query: list[list[list[str]]], every: bool, scope=No
     keep = hits[0]
     for h in hits[1:]:
         keep = keep & h if every else keep | h
-    out = counted.where(keep).withColumn("score", score).drop(*(f"f{i}" for i in range(len(flat))))
+    out = counted.where(keep).withColumn("score", score).drop(*(f"f{i}" for i in range(n_phrases)))
     return scope(out) if scope else out
 
 
+def bm25(indexed: DataFrame, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
+    """indexed pages with score, for those that match one (or every) clause. scope: a function of the matched pages.
+
+    Phrases occurring in a query twice count twice. A phrase in half of the pages or more weighs 1e-6.
+    """
+    if not any(query):
+        return indexed.where("false").withColumn("score", F.lit(0.0))
+    return score_counts(count_phrases(indexed, query), query, every, scope)
+
+
 def top(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.col("score").desc(), F.col("page_id")).limit(limit)
 
@@ -266,10 +275,13 @@ def top(df: DataFrame, limit: int) -> DataFrame:
 def tiered(indexed: DataFrame, sanitized: str, limit: int, scope=None, columns: tuple[str, ...] = ("page_id", "slug", "title", "summary", "wing")) -> DataFrame:
     """(columns, score, tier): pages with every clause first; if they are fewer than limit, pages with any clause below them."""
     q = clauses(sanitized)
-    first = top(bm25(indexed, q, True, scope), limit).select(*columns, "score").withColumn("tier", F.lit(0))
+    if not q:
+        return indexed.where("false").select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("tier"))
+    counted = count_phrases(indexed, q)
+    first = top(score_counts(counted, q, True, scope), limit).select(*columns, "score").withColumn("tier", F.lit(0))
     if len(q) <= 1:
         return first
-    rest = top(bm25(indexed, q, False, scope), 2 * limit).select(*columns, "score").withColumn("tier", F.lit(1))
+    rest = top(score_counts(counted, q, False, scope), 2 * limit).select(*columns, "score").withColumn("tier", F.lit(1))
     both = first.unionByName(rest.join(first.select("page_id"), "page_id", "left_anti").select(*first.columns))
     # At most three times `limit` rows from here on.
     w = Window.partitionBy("tier").orderBy(F.col("score").desc(), "page_id")
