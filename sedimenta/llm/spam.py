@@ -35,11 +35,11 @@ FLAT, LISTED, REPEATED_LIST, SENTENCES, SHARE = 0.82, 1.25, 0.42, 1.6, 0.5
 LEAST_BLOCKS = 200
 _OWN_SCRIPT = {"ja", "zh", "ko"}
 
-_END = re.compile(r"""(?:(?<=[^\W\d_])|(?<=[\d)\]"'*`]))[.!?]+["')\]*_`]*(?=\s|$|\\n|["'<|])|[。！？]""")
+_END = re.compile(r"""[.!?](?<=\S.)[.!?]*+["')\]*_`]*(?=\s|$|\\n|["'<|])|[。！？]""")
 _MARK = re.compile(r"(?m)^[ \t]*(?:\d{1,4}[.)]|[-*•+])[ \t]+")
 _WORD = re.compile(r"[^\W_]+")
 _FRONT = re.compile(r"\A---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
-_FOLD = re.compile(r"""\[\[[^\]\n]*\]\]|\]\([^)\s]*\)|href=["'][^"'\n]*["']|(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/\S*)?|\d+""")
+_FOLD = re.compile(r"""\[\[[^\]\n]*+\]\]|\]\([^)\s]*+\)|href=["'][^"'\n]*+["']|(?:https?://|www\.)\S++|(?<![\w-])[\w-]++(?:\.[\w-]*[a-z][\w-]*+)++(?:/\S*+)?|\d++""")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
