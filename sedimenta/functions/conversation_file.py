@@ -55,7 +55,7 @@ def render_turns(turns: list[dict], boundary: str = BOUNDARY, escape: str = ESCA
 
 
 def prompt(session: str, new: list[dict], before: list[dict]) -> str:
-    """What a model is asked about a window of turns."""
+    """What a model is asked about a window of turns. The labels are a fixed format, which a model was tuned to."""
     show = lambda ts: "\n".join(f"  [turn {t['ordinal']}, {t['role']}, {t['ts']}]\n    " + t["content"].replace("\n", "\n    ") for t in ts) or "  (none)"
     span = f"turns {new[0]['ordinal']}..{new[-1]['ordinal']}" if new else "turns none"
     return f"Session: {session}\nNew turns to extract from ({span}):\n{show(new)}\nLookback context (do not extract from these — for reference only):\n{show(before)}"

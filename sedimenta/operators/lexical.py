@@ -102,8 +102,11 @@ class Raw:
     column: str | None = None
 
 
-def parse_raw(query: str) -> Raw:
-    """Expert syntax: "phrases", prefix*, AND, OR, NOT, NEAR(a b, n), column filters and parentheses. Bad syntax raises ValueError."""
+def parse_raw(query: str, stemmed: bool = False) -> Raw:
+    """Expert syntax: "phrases", prefix*, AND, OR, NOT, NEAR(a b, n), column filters and parentheses. Bad syntax raises ValueError.
+
+    stemmed: for an index in porter mode.
+    """
     toks = re.findall(r'"(?:[^"]|"")*"\s*\*?|[()]|NEAR\s*\(|[\w]+\s*:|[\w]+\*?|,|\S', query)
     pos = 0
 
@@ -143,7 +146,7 @@ def parse_raw(query: str) -> Raw:
         if t in _OPERATORS or not (t[0] == '"' or re.fullmatch(r"\w+\*?", t)):
             raise ValueError(f"syntax error near {t}")
         star = t.rstrip().endswith("*")
-        words = tuple(porter.tokens(t.strip().rstrip("*").strip().strip('"'), False))
+        words = tuple(porter.tokens(t.strip().rstrip("*").strip().strip('"'), stemmed))
         return Raw("prefix" if star else "phrase", words=words, column=column)
 
     def both(column: str | None) -> Raw:

@@ -192,7 +192,7 @@ def h06(spark, d):
     return lx.index(pages(spark, d)).where(lx.raw_match(lx.parse_raw(_RAW))).select("page_id", "slug")
 
 
-@reg("h13_phrase_match", f"WITH {_INDEX} SELECT page_id, {_phrase_sql(['second', 'look'])} AS n FROM idx WHERE {_phrase_sql(['second', 'look'])} > 0")
+@reg("h13_phrase_match", f"WITH {_INDEX} SELECT page_id, {_phrase_sql(['second', 'look'])} AS n FROM idx WHERE {_phrase_sql(['second', 'look'])} > 0", longs=('n',))
 def h13(spark, d):
     return lx.index(pages(spark, d)).withColumn("n", lx.phrase_count(["second", "look"])).where("n > 0").select("page_id", "n")
 
@@ -243,7 +243,7 @@ _KNN = f"""SELECT query_id, id, round(s, 6) AS score, rn AS rank FROM (
   FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0) WHERE rn <= 10"""
 
 
-@reg("f02_knn", _KNN)
+@reg("f02_knn", _KNN, longs=('rank',))
 def f02(spark, d):
     """The ten nearest of every vector whose id is divisible by 50, against all vectors."""
     e = table(spark, d, "embeddings")

@@ -68,7 +68,7 @@ def c04(spark, d):
     return links(spark, d).join(s, "from_page_id").join(t, "to_page_id").select("link_id", "from_slug", "to_slug")
 
 
-@reg("c05_backlinks", f"SELECT to_page_id, link_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY to_page_id ORDER BY created_at DESC, link_id) AS rn FROM (SELECT DISTINCT * FROM links WHERE {_ACTIVE})) WHERE rn <= 100")
+@reg("c05_backlinks", f"SELECT to_page_id, link_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY to_page_id ORDER BY created_at DESC, link_id) AS rn FROM (SELECT DISTINCT * FROM links WHERE {_ACTIVE})) WHERE rn <= 100", longs=('rn',))
 def c05(spark, d):
     """The newest hundred active links into every page."""
     w = Window.partitionBy("to_page_id").orderBy(F.col("created_at").desc(), "link_id")
@@ -379,7 +379,7 @@ def d13(spark, d):
     return table(spark, d, "events").agg(F.greatest(F.lit(0.0), F.max("value")).alias("best"))
 
 
-@reg("d14_queue_position", "SELECT gap_id, row_number() OVER (PARTITION BY page_id ORDER BY detected_at, gap_id) AS position FROM (SELECT DISTINCT gap_id, page_id, detected_at FROM knowledge_gaps WHERE resolved_at IS NULL AND page_id IS NOT NULL)")
+@reg("d14_queue_position", "SELECT gap_id, row_number() OVER (PARTITION BY page_id ORDER BY detected_at, gap_id) AS position FROM (SELECT DISTINCT gap_id, page_id, detected_at FROM knowledge_gaps WHERE resolved_at IS NULL AND page_id IS NOT NULL)", longs=('position',))
 def d14(spark, d):
     g = table(spark, d, "knowledge_gaps").where("resolved_at is null and page_id is not null").select("gap_id", "page_id", "detected_at").distinct()
     return g.select("gap_id", F.row_number().over(Window.partitionBy("page_id").orderBy("detected_at", "gap_id")).alias("position"))
@@ -439,7 +439,7 @@ def d19(spark, d):
 # --- ordering and sets -------------------------------------------------------------------------------------------------------
 
 
-@reg("f07_timeline_newest", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(timeline, '\\*\\*([0-9]{4}-[0-9]{2}-[0-9]{2})\\*\\*', 1)) AS day FROM mem_pages WHERE timeline IS NOT NULL), r AS (SELECT page_id, day, row_number() OVER (PARTITION BY page_id ORDER BY day DESC) AS rn FROM (SELECT DISTINCT page_id, day FROM e)) SELECT page_id, day, rn FROM r WHERE rn <= 5")
+@reg("f07_timeline_newest", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(timeline, '\\*\\*([0-9]{4}-[0-9]{2}-[0-9]{2})\\*\\*', 1)) AS day FROM mem_pages WHERE timeline IS NOT NULL), r AS (SELECT page_id, day, row_number() OVER (PARTITION BY page_id ORDER BY day DESC) AS rn FROM (SELECT DISTINCT page_id, day FROM e)) SELECT page_id, day, rn FROM r WHERE rn <= 5", longs=('rn',))
 def f07(spark, d):
     e = pages(spark, d).select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("timeline", F.lit(r"\*\*([0-9]{4}-[0-9]{2}-[0-9]{2})\*\*"), F.lit(1)))).alias("day"))
     return e.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("day").desc()))).where("rn <= 5")
@@ -473,7 +473,7 @@ def f12(spark, d):
     return p.orderBy("updated_at", "page_id").limit(-(-p.count() // 30)).select("page_id")
 
 
-@reg("f13_job_order", "SELECT assertion_id, row_number() OVER (PARTITION BY asserted_by ORDER BY confidence DESC NULLS LAST, created_at, assertion_id) AS place FROM (SELECT DISTINCT assertion_id, asserted_by, confidence, created_at FROM assertions)")
+@reg("f13_job_order", "SELECT assertion_id, row_number() OVER (PARTITION BY asserted_by ORDER BY confidence DESC NULLS LAST, created_at, assertion_id) AS place FROM (SELECT DISTINCT assertion_id, asserted_by, confidence, created_at FROM assertions)", longs=('place',))
 def f13(spark, d):
     a = table(spark, d, "assertions").select("assertion_id", "asserted_by", "confidence", "created_at").distinct()
     w = Window.partitionBy("asserted_by").orderBy(F.col("confidence").desc_nulls_last(), "created_at", "assertion_id")
@@ -750,13 +750,13 @@ def a04(spark, d):
 @reg("e06_turn_windows", """
 WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events), c AS (SELECT *, ordinal > user_id % 60 AS new FROM t), n AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id) AS n_new FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, new ORDER BY CASE WHEN new THEN ordinal ELSE -ordinal END) AS rn FROM n WHERE n_new > 0)
-SELECT user_id, CASE WHEN new THEN (rn - 1) // 5 ELSE 0 END AS window_no, ordinal, NOT new AS lookback FROM r WHERE new OR (n_new < 5 AND rn <= 5 - n_new)""")
+SELECT user_id, CASE WHEN new THEN (rn - 1) // 5 ELSE 0 END AS window_no, ordinal, NOT new AS lookback FROM r WHERE new OR (n_new < 5 AND rn <= 5 - n_new)""", longs=('ordinal', 'window_no'))
 def e06(spark, d):
     t = table(spark, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("ordinal"))
     return cv.turn_windows(t, F.col("user_id") % 60, ["user_id"])
 
 
-@reg("e05_chunk_index", "SELECT doc_id, unnest(range(0, len(string_split(text, chr(10) || '## ')))) AS chunk_index FROM documents WHERE text IS NOT NULL")
+@reg("e05_chunk_index", "SELECT doc_id, unnest(range(0, len(string_split(text, chr(10) || '## ')))) AS chunk_index FROM documents WHERE text IS NOT NULL", longs=('chunk_index',))
 def e05(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n## ", -1)).alias("chunk_index", "c")).select("doc_id", "chunk_index")
 
@@ -815,7 +815,7 @@ def m17(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@reg("m01_turn_ordinals", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events")
+@reg("m01_turn_ordinals", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events", longs=('ordinal',))
 def m01(spark, d):
     return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("ordinal"))
 
@@ -865,7 +865,7 @@ def t22(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 0").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@reg("t18_largest_orders", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+@reg("t18_largest_orders", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3", longs=('rn',))
 def t18(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rn")).where("rn <= 3")
