@@ -192,20 +192,48 @@ def index(pages: DataFrame, mode: str = "plain") -> DataFrame:
 
 
 def _count(phrase: list[str], column: str, prefix: bool = False) -> Column:
-    toks, n = F.col(f"t_{column}"), len(phrase)
-    if n == 1:
-        return F.size(F.filter(toks, lambda x: x.startswith(phrase[0]) if prefix else x == phrase[0]))
-    want = F.array(*(F.lit(w) for w in phrase))
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
-    if prefix:
-        return F.size(F.filter(starts, lambda i: (F.slice(toks, i, n - 1) == F.array(*(F.lit(w) for w in phrase[:-1]))) & F.get(toks, i + n - 2).startswith(phrase[-1])))
-    return F.size(F.filter(starts, lambda i: F.slice(toks, i, n) == want))
+    """How often the phrase occurs in a column. The token array is only ever an argument, never used within a lambda: there it would be
+    made anew for every position."""
+    toks = F.col(f"t_{column}")
+
+    def is_word(x: Column, k: int) -> Column:
+        return x.startswith(phrase[k]) if prefix and k == len(phrase) - 1 else x == phrase[k]
+
+    def before(k: int):
+        return lambda x, rest: is_word(x, k) & F.coalesce(rest, F.lit(False))
+
+    hit = F.transform(toks, lambda x: is_word(x, len(phrase) - 1))
+    for k in range(len(phrase) - 2, -1, -1):  # a word counts where the rest of the phrase begins right after it
+        hit = F.zip_with(toks, F.slice(hit, 2, 1 << 30), before(k))
+    return F.size(F.filter(hit, lambda x: x))
 
 
 def phrase_count(phrase: list[str], column: str | None = None, prefix: bool = False) -> Column:
     return sum((_count(phrase, c, prefix) for c in ((column,) if column else COLUMNS)), F.lit(0))
 
 
+def _places(column: str, word: str) -> Column:
+    return F.transform(F.col(f"t_{column}"), lambda x, i: F.when(x == word, i).otherwise(F.lit(-1)))
+
+
+def _close(n: int, far: int):
+    """Whether some place of the first part has a place of every other part at most `far` words between."""
+
+    def near(i: Column, others: Column) -> Column:
+        return F.exists(others, lambda j: F.abs(i - j) <= far + 1)
+
+    def check(s: Column) -> Column:
+        def all_near(i: Column) -> Column:
+            ok = F.lit(True)
+            for k in range(1, n):
+                ok = ok & near(i, s[f"p{k}"])
+            return ok
+
+        return F.exists(s["p0"], all_near)
+
+    return check
+
+
 def raw_match(node: Raw) -> Column:
     """Whether a page of the index matches an expert query (NEAR as all of its parts within one column)."""
     if node.op in ("phrase", "prefix"):
@@ -220,14 +248,12 @@ def raw_match(node: Raw) -> Column:
     far = int(node.words[0])
     found = F.lit(False)
     for c in COLUMNS:
-        first = node.parts[0].words
-        toks = F.col(f"t_{c}")
-        at = F.filter(F.transform(toks, lambda x, i: F.when(x == first[0], i).otherwise(F.lit(-1))), lambda i: i >= 0)
-        near = at
-        for p in node.parts[1:]:
-            w = p.words[0]
-            near = F.filter(near, lambda i, w=w, toks=toks: F.array_contains(F.slice(toks, F.greatest(F.lit(1), i + 1 - far - 1), F.lit(2 * far + 3)), w))
-        found = found | (F.size(near) > 0)
+        # The places of each part's first word, made once: the inner functions see them through a structure's fields.
+        places = [
+            F.filter(_places(c, p.words[0]), lambda i: i >= 0).alias(f"p{k}")
+            for k, p in enumerate(node.parts)
+        ]
+        found = found | F.exists(F.array(F.struct(*places)), _close(len(places), far))
     return found
 
 

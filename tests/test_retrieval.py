@@ -59,6 +59,14 @@ def test_tiered(spark):
     assert out[0].score > out[1].score > out[2].score and out[0].score - out[2].score < 1e-4
 
 
+def test_near_and_phrases(spark):
+    ix = lexical.index(spark.createDataFrame([page(1, "a x x b"), page(2, "a x x x b"), page(3, "b a"), page(4, "a b a b c")], PAGES))
+    ids = lambda q: {r.page_id for r in ix.where(lexical.raw_match(lexical.parse_raw(q))).collect()}
+    assert ids("NEAR(a b, 2)") == {1, 3, 4} and ids("NEAR(a b, 3)") == {1, 2, 3, 4} and ids('"a b"') == {4} and ids('"b a" NOT c') == {3} and ids('"x x" b*') == {1, 2}
+    n = {r.page_id: r.n for r in ix.withColumn("n", lexical.phrase_count(["a", "b"])).collect()}
+    assert n == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
 def test_scope(spark):
     rows = [page(1, "a", ns="x"), page(2, "a", ns=""), page(3, "a", ns="y"), page(4, "a", sup=1, wing="v")]
     df = spark.createDataFrame(rows, PAGES)
