@@ -62,7 +62,20 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hi.descendants(tree, tree.select("page_id").where("page_id % 50 = 0"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants}
+def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything below each page. SQL would compare the paths of all places, so there is none: tests are against walks."""
+    tree = hi.materialize(hi.hierarchy(_edges(spark, sf_dir)), "tree")
+    return hi.descendants(tree, tree)
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_periods": p2_periods,
+    "p5_found": p5_found,
+    "p5_hierarchy": p5_hierarchy,
+    "p5_descendants": p5_descendants,
+    "p5_all_descendants": p5_all_descendants,
+}
 
 _SPANS = r"""
 WITH raw AS (

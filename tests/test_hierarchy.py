@@ -83,3 +83,15 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (2, 1), (7, 8), (5, 5), (None, 3), (9, 7)] + [(20, i) for i in range(21, 60)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert out == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{i: 20 for i in range(20, 60)}}
+
+
+def test_descendants_of_all_pages(spark, tmp_path):
+    """Pages whose ids aren't divisible by 50 have their descendants listed too."""
+    from __spark_entry__ import queries
+
+    links = {(51, 50), (52, 51), (53, 51), (54, 53), (54, 52), (60, 61)}
+    _, _, reach = brute(links)
+    rows = [(c, p, "parent") for c, p in links]
+    spark.createDataFrame(rows, "from_page_id long, to_page_id long, relationship string").write.parquet(str(tmp_path / "links.parquet"))
+    out = [tuple(r) for r in queries()["p5_all_descendants"](spark, str(tmp_path)).collect()]
+    assert sorted(out) == sorted((p, c) for c in reach for p in reach[c])
