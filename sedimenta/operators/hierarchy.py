@@ -7,7 +7,9 @@ are what remains; the graph between them is small, and is searched for strongly
 Cycles. The upward pass sends every page to the first page above it that has no parent or several. Pages that never arrive are on
 or below a cycle of only children; the remaining cycles run through pages with several parents and are found between those.
 
-Ranges. Links within a cycle are left out, so that what remains has no cycle. A page with several parents has a place under each of them.
+Ranges. hierarchy() leaves links within a cycle out, so that what remains has no cycle; what lies below a cycle's other pages is then
+missing from each of its pages and from all above it. whole_hierarchy() and whole_descendants() lose nothing: every cycle is folded to
+its smallest page first, and all its pages share that page's places. A page with several parents has a place under each of them.
 Subtree sizes are summed upward; siblings get consecutive preorder ranges by prefix sums of their sizes; ranges are added up
 downward. The descendants of a place are then the places numbered from pre + 1 to post, its ancestors those whose range
 holds it. Sums over siblings are taken over a range-sorted table with carried totals, so a page with a third of all children
@@ -212,13 +214,14 @@ def places(edges: DataFrame, on_cycle: DataFrame) -> DataFrame:
     return heads.unionByName(rest).withColumnRenamed("t", "page")
 
 
-def hierarchy(edges: DataFrame) -> DataFrame:
+def hierarchy(edges: DataFrame, ring: DataFrame | None = None) -> DataFrame:
     """(page_id, parent_id, root_id, depth, path, pre, post, n_descendants, cycle_page_id): one row for every place of every page.
 
     path: the ids from the root down to the page. pre and post: the nested-set range over all trees. n_descendants: places below.
+    ring: cycles(edges), where it is known.
     """
     edges = materialize(edges, "edges")
-    ring = materialize(cycles(edges), "cycles")
+    ring = materialize(cycles(edges), "cycles") if ring is None else ring
     place = places(edges, ring)
     key = lambda page, ctx: F.struct(F.col(page).alias("p"), F.col(ctx).alias("c"))
     start = place.select(
@@ -284,3 +287,43 @@ def descendants(tree: DataFrame, of: DataFrame, block: int = 4096) -> DataFrame:
     blocks = blocks.repartition("page_id", "from")
     each = blocks.select("page_id", F.explode(F.sequence("from", F.least("hi", F.col("from") + block - 1))).alias("pre"))
     return each.join(tree.select("pre", F.col("page_id").alias("descendant_id")), "pre").select("page_id", "descendant_id").distinct()
+
+
+def _folded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy of edges with every cycle folded to its smallest page; and (page_id, member), the pages of each cycle."""
+    edges = materialize(edges, "edges")
+    ring = materialize(cycles(edges), "cycles")
+    c = ring.select(F.col("node").alias("child"), F.col("cycle_id").alias("cc"))
+    p = ring.select(F.col("node").alias("parent"), F.col("cycle_id").alias("cp"))
+    fold = edges.join(c, "child", "left").join(p, "parent", "left")
+    # A link within a cycle becomes one of its smallest page to itself, so a cycle without other links keeps its place.
+    fold = fold.select(F.coalesce("cc", "child").alias("child"), F.coalesce("cp", "parent").alias("parent")).distinct()
+    tree = hierarchy(fold, ring.select(F.col("cycle_id").alias("node"), "cycle_id").distinct())
+    return materialize(tree, "tree"), ring.select(F.col("cycle_id").alias("page_id"), F.col("node").alias("member"))
+
+
+def whole_hierarchy(edges: DataFrame) -> DataFrame:
+    """The columns of hierarchy(), with nothing lost at cycles: all pages of a cycle have its places, parents, roots and ranges.
+
+    In parent_id, root_id and path a cycle stands as its smallest page. n_descendants: the pages at the places below, all pages
+    of a cycle counted; a page on a cycle is below itself, as are the cycle's others.
+    """
+    tree, members = _folded(edges)
+    size = members.groupBy("page_id").agg(F.count("*").alias("w"))
+    sized = tree.join(size, "page_id", "left").select("pre", F.coalesce("w", F.lit(1)).cast("long").alias("w"))
+    summed = materialize(running_total(sized, ["pre"], "w", "before"), "sizes")
+    upto = summed.select(F.col("pre").alias("post"), (F.col("before") + F.col("w")).alias("upto"))
+    out = tree.join(summed.select("pre", "before"), "pre").join(upto, "post").join(members, "page_id", "left")
+    itself = F.when(F.col("cycle_page_id").isNull(), 1).otherwise(0)
+    return out.withColumn("n_descendants", F.col("upto") - F.col("before") - itself).withColumn("page_id", F.coalesce("member", "page_id")).select(*tree.columns)
+
+
+def whole_descendants(edges: DataFrame) -> DataFrame:
+    """(page_id, descendant_id), distinct: every page that can be reached downward, through cycles too; pages on a cycle reach themselves."""
+    tree, members = _folded(edges)
+    same = members.select("page_id", F.col("page_id").alias("descendant_id")).distinct()
+    pairs = descendants(tree, tree).unionByName(same)
+    for end in ("page_id", "descendant_id"):
+        m = members.select(F.col("page_id").alias(end), "member")
+        pairs = pairs.join(m, end, "left").withColumn(end, F.coalesce("member", end)).drop("member")
+    return pairs.select("page_id", "descendant_id")

@@ -63,9 +63,13 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything below each page. SQL would compare the paths of all places, so there is none: tests are against walks."""
-    tree = hi.materialize(hi.hierarchy(_edges(spark, sf_dir)), "tree")
-    return hi.descendants(tree, tree)
+    """Everything below each page, through cycles too. SQL would compare the paths of all places, so there is none: tests are against walks."""
+    return hi.whole_descendants(_edges(spark, sf_dir))
+
+
+def p5_whole_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5_hierarchy with cycles folded, so that no page loses what lies below a cycle."""
+    return hi.whole_hierarchy(_edges(spark, sf_dir)).withColumn("path", F.array_join("path", "/"))
 
 
 QUERIES = {
@@ -75,6 +79,7 @@ QUERIES = {
     "p5_hierarchy": p5_hierarchy,
     "p5_descendants": p5_descendants,
     "p5_all_descendants": p5_all_descendants,
+    "p5_whole_hierarchy": p5_whole_hierarchy,
 }
 
 _SPANS = r"""

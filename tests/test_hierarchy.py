@@ -95,3 +95,16 @@ def test_descendants_of_all_pages(spark, tmp_path):
     spark.createDataFrame(rows, "from_page_id long, to_page_id long, relationship string").write.parquet(str(tmp_path / "links.parquet"))
     out = [tuple(r) for r in queries()["p5_all_descendants"](spark, str(tmp_path)).collect()]
     assert sorted(out) == sorted((p, c) for c in reach for p in reach[c])
+
+
+def test_nothing_is_lost_at_cycles(spark):
+    # 1 is above the cycle 2, 3, 4; 10 hangs on 3 and leads to 11; the cycle 20, 21 stands alone; 30 is its own parent.
+    edges = {(2, 1), (3, 2), (4, 3), (2, 4), (10, 3), (11, 10), (20, 21), (21, 20), (30, 30), (31, 30)}
+    cyc, _, reach = brute(edges)
+    expected = sorted((p, c) for c in reach for p in reach[c])
+    assert sorted(tuple(r) for r in hi.whole_descendants(frame(spark, edges)).collect()) == expected
+    rows = {r.page_id: r for r in hi.whole_hierarchy(frame(spark, edges)).collect()}
+    assert {p: r.cycle_page_id for p, r in rows.items()} == {p: cyc.get(p) for p in reach}
+    assert {p: r.n_descendants for p, r in rows.items()} == {p: sum(a == p for a, _ in expected) for p in reach}
+    assert {p: tuple(rows[p].path) for p in (3, 11, 21, 31)} == {3: (1, 2), 11: (1, 2, 10, 11), 21: (20,), 31: (30, 31)}
+    assert (rows[11].root_id, rows[11].parent_id, rows[11].depth, rows[4].parent_id, rows[4].pre) == (1, 10, 3, 1, rows[2].pre)
