@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -87,6 +88,42 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     return out.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
+def best_by_label(rows: DataFrame, queries: DataFrame, label_col: str = "label", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, label, score): the best cosine of each query to the rows of each label, over all rows but the query itself; exact.
+
+    A batch of rows is multiplied with a block of queries and keeps one score per query and label, so what is shuffled is a row a batch,
+    query and label.
+    """
+    ship(rows.sparkSession)
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("label", rows.schema[label_col].dataType), T.StructField("score", T.DoubleType())])
+    out = rows.sparkSession.createDataFrame([], schema)
+    for block in batched(queries.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator(), QUERY_BLOCK):
+        ids = np.array([r[0] for r in block])
+        q = np.array([r[1] for r in block], np.float64)
+        norm = np.linalg.norm(q, axis=1)
+        q = q / np.where(norm > 0, norm, 1)[:, None]
+
+        def run(it: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                m, ok = _matrix(b["v"], q.shape[1])
+                if not len(ok):
+                    continue
+                coded = b["label"].take(pa.array(ok)).dictionary_encode("encode")
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+                s = np.round(q @ m[order].T, 12)
+                s[ids[:, None] == b["id"].to_numpy()[ok][order]] = -np.inf
+                best = np.maximum.reduceat(s, starts, axis=1)
+                r, c = np.nonzero(best > -np.inf)
+                label = coded.dictionary.take(pa.array(code[order][starts][c]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), label, pa.array(best[r, c])], ["query_id", "label", "score"])
+
+        part = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")).mapInArrow(run, schema)
+        out = out.unionByName(part)
+    return out.groupBy("query_id", "label").agg(F.max("score").alias("score"))
+
+
 def best_chunk(scored: DataFrame, page_col: str, score_col: str = "score") -> DataFrame:
     return scored.groupBy(page_col).agg(F.max(score_col).alias(score_col))
 

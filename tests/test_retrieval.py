@@ -141,3 +141,24 @@ def test_trigger_fold(spark):
         want[key] = now
     df = spark.createDataFrame(rows, "k long, i long, trigger string, at string")
     assert {r.k: (r.trigger, r.at) for r in merged_jobs(df, "k", "trigger", "at", "i").collect()} == want
+
+
+def test_margin_beyond_the_nearest(spark, tmp_path):
+    """A label that fills the 600 nearest places doesn't hide the runner-up."""
+    from __spark_entry__ import queries
+
+    rows = [(i, "hot", [1.0, i / 10000]) for i in range(600)] + [(600, "far", [0.0, 1.0]), (601, None, [-1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {r.vec_id: (r.label, r.margin) for r in queries()["e08_best_margin"](spark, str(tmp_path)).collect()}
+
+    def cos(x, y):
+        return sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+
+    for i, _, v in (r for r in rows if r[0] % 50 == 0):
+        best = {}
+        for j, label, w in rows:
+            if j != i:
+                best[label] = max(best.get(label, -2), cos(v, w))
+        first, second = sorted(best.values(), reverse=True)[:2]
+        assert out.pop(i) == (max(best, key=best.get), pytest.approx(first - second, abs=2e-6))
+    assert not out
