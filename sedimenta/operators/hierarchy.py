@@ -1,8 +1,9 @@
 """Hierarchies of unknown depth from parent links: cycles, and nested-set ranges of every page's place in its tree.
 
-No step walks a tree level by level. Where a page's only parent leads on to another page with one parent, and so on, pointers are
+Trees are not walked level by level. Where a page's only parent leads on to another page with one parent, and so on, pointers are
 doubled: after k rounds a pointer spans 2^k levels, so a hierarchy of depth d takes log2(d) rounds. Pages with several parents
-are what remains; the graph between them is small, and is searched for strongly connected parts.
+are what remains; the graph between them is small, and is searched for strongly connected parts. Only their places are made one such
+page after another: as many rounds as the longest path has pages with several parents.
 
 Cycles. The upward pass sends every page to the first page above it that has no parent or several. Pages that never arrive are on
 or below a cycle of only children; the remaining cycles run through pages with several parents and are found between those.
@@ -197,7 +198,7 @@ def places(edges: DataFrame, on_cycle: DataFrame) -> DataFrame:
     walk = materialize(many.join(ends.withColumnRenamed("v", "via"), "via", "left").select("m", "via", F.coalesce("t", "via").alias("t")), "walk")
     fresh = materialize(roots.select(F.col("page").alias("t"), F.lit(0).cast("long").alias("ctx"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("parent_ctx")), "contexts")
     contexts = [fresh]
-    for _ in range(MOST_ROUNDS):
+    while True:  # what is left of the links has no cycle, so a round without new contexts comes
         up = fresh.select("t", F.col("ctx").alias("parent_ctx"))
         fresh = walk.join(up, "t").select(
             F.col("m").alias("t"), F.xxhash64("m", "via", "parent_ctx").alias("ctx"), F.col("via").alias("parent"), "parent_ctx"

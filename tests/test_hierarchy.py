@@ -108,3 +108,11 @@ def test_nothing_is_lost_at_cycles(spark):
     assert {p: r.n_descendants for p, r in rows.items()} == {p: sum(a == p for a, _ in expected) for p in reach}
     assert {p: tuple(rows[p].path) for p in (3, 11, 21, 31)} == {3: (1, 2), 11: (1, 2, 10, 11), 21: (20,), 31: (30, 31)}
     assert (rows[11].root_id, rows[11].parent_id, rows[11].depth, rows[4].parent_id, rows[4].pre) == (1, 10, 3, 1, rows[2].pre)
+
+
+def test_many_levels_of_several_parents(spark, monkeypatch):
+    """No places are lost where a path has more pages with several parents than pointer doubling takes rounds."""
+    monkeypatch.setattr(hi, "MOST_ROUNDS", 4)
+    edges = {(i, i - 1) for i in range(1, 7)} | {(i, 100 + i) for i in range(1, 7)}
+    place = hi.places(frame(spark, edges), spark.createDataFrame([], "node long, cycle_id long"))
+    assert sorted(r.page for r in place.collect()) == sorted([0, *range(101, 107), *(i for i in range(1, 7) for _ in range(i + 1))])
