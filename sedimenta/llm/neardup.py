@@ -246,14 +246,14 @@ def near_duplicates(
 def all_pairs(links: DataFrame, members: DataFrame, texts: DataFrame, least_words: int = LEAST_WORDS, full_class: int = FULL_CLASS) -> DataFrame:
     """(a, b), a < b: the links between all pages of the linked classes, and the copies within each class.
 
-    A class of more than full_class pages is represented by its smallest id; its other pages are paired with that one alone.
+    Within a class of more than full_class pages, each page is paired with the smallest id alone; links to other classes hold for all its pages.
     """
     many = members.where("class_size > 1")
     held = many.where(f"class_size <= {full_class}").select("rep", "id")
 
     def spread(df: DataFrame, end: str) -> DataFrame:
         """One row for each page of the class that `end` represents."""
-        m = held.select(F.col("rep").alias(end), F.col("id").alias("__id"))
+        m = many.select(F.col("rep").alias(end), F.col("id").alias("__id"))
         return df.join(m, end, "left").withColumn(end, F.coalesce("__id", end)).drop("__id")
 
     between = spread(spread(links.select("a", "b"), "a"), "b")

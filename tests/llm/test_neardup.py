@@ -91,3 +91,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, text string")
     links, members = nd.near_duplicates(df)
     assert nd.all_pairs(links, members, df).count() == 0 and nd.groups(df, links, members).count() == 0
+
+
+def test_links_of_large_classes(spark):
+    """A page that is near a class of more copies than full_class is paired with all of them."""
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([*((i, text) for i in range(4)), (9, text + " more")], "id long, text string")
+    members = spark.createDataFrame([*((i, 0, 4) for i in range(4)), (9, 9, 1)], "id long, rep long, class_size long")
+    links = spark.createDataFrame([(0, 9, 0.9)], "a long, b long, similarity double")
+    got = sorted(tuple(r) for r in nd.all_pairs(links, members, df, full_class=2).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (0, 9), (1, 9), (2, 9), (3, 9)]
