@@ -89,6 +89,20 @@ def c07(spark, d):
     return links(spark, d).where("to_page_id % 50 = 0").join(a, "from_page_id").select("link_id", "from_slug", "relationship")
 
 
+@reg("c06_all_outbound_links", "SELECT DISTINCT l.link_id, a.slug AS from_slug, b.slug AS to_slug, l.relationship FROM links l JOIN mem_pages a ON a.page_id = l.from_page_id JOIN mem_pages b ON b.page_id = l.to_page_id")
+def c06_all(spark, d):
+    """All links, past ones too, out of every page."""
+    p = pages(spark, d)
+    a, b = (p.select(F.col("page_id").alias(f"{x}_page_id"), F.col("slug").alias(f"{x}_slug")) for x in ("from", "to"))
+    return links(spark, d).join(a, "from_page_id").join(b, "to_page_id").select("link_id", "from_slug", "to_slug", "relationship")
+
+
+@reg("c07_all_inbound_links", "SELECT DISTINCT l.link_id, a.slug AS from_slug, l.relationship FROM links l JOIN mem_pages a ON a.page_id = l.from_page_id WHERE l.to_page_id IS NOT NULL")
+def c07_all(spark, d):
+    a = pages(spark, d).select(F.col("page_id").alias("from_page_id"), F.col("slug").alias("from_slug"))
+    return links(spark, d).where("to_page_id is not null").join(a, "from_page_id").select("link_id", "from_slug", "relationship")
+
+
 _CONTRA = """
 one AS (SELECT DISTINCT assertion_id, page_id, lower(regexp_replace(subject, '^\\s+|\\s+$', '', 'g')) AS subject, lower(regexp_replace(predicate, '^\\s+|\\s+$', '', 'g')) AS predicate, object_text, valid_from, valid_until FROM assertions),
 con AS (SELECT a.assertion_id AS low, b.assertion_id AS high, a.subject, a.predicate, a.object_text AS x, b.object_text AS y, a.page_id AS pa, b.page_id AS pb FROM one a JOIN one b ON a.subject = b.subject AND a.predicate = b.predicate AND a.assertion_id < b.assertion_id AND a.object_text <> b.object_text
@@ -535,6 +549,12 @@ def g05(spark, d):
     return a.unionByName(pages(spark, d).where("page_id % 50 = 0").select("page_id")).distinct()
 
 
+@reg("g05_all_graph_additions", "SELECT DISTINCT from_page_id AS page_id FROM links WHERE to_page_id IS NOT NULL UNION SELECT page_id FROM mem_pages")
+def g05_all(spark, d):
+    a = table(spark, d, "links").where("to_page_id is not null").select(F.col("from_page_id").alias("page_id"))
+    return a.unionByName(pages(spark, d).select("page_id")).distinct()
+
+
 # --- edges, hygiene, sync ----------------------------------------------------------------------------------------------------
 
 
@@ -712,6 +732,11 @@ def a11(spark, d):
     return pages(spark, d).where("page_id % 50 = 0 and uuid is not null").select("page_id", "slug", "uuid", "title", "page_version")
 
 
+@reg("a11_all_page_reads", "SELECT page_id, slug, uuid, title, page_version FROM mem_pages WHERE uuid IS NOT NULL")
+def a11_all(spark, d):
+    return pages(spark, d).where("uuid is not null").select("page_id", "slug", "uuid", "title", "page_version")
+
+
 @reg("a15_active_import", "SELECT collection_id, rel_path, doc_id, rn = 1 AS is_active FROM (SELECT *, row_number() OVER (PARTITION BY collection_id, rel_path ORDER BY ingested_at DESC, doc_id DESC) AS rn FROM documents)")
 def a15(spark, d):
     w = Window.partitionBy("collection_id", "rel_path").orderBy(F.col("ingested_at").desc(), F.col("doc_id").desc())

@@ -162,3 +162,17 @@ def test_margin_beyond_the_nearest(spark, tmp_path):
         first, second = sorted(best.values(), reverse=True)[:2]
         assert out.pop(i) == (max(best, key=best.get), pytest.approx(first - second, abs=2e-6))
     assert not out
+
+
+def test_links_and_reads_of_all_pages(spark, tmp_path):
+    """Pages whose ids aren't divisible by 50 are joined and read too."""
+    from __spark_entry__ import queries
+
+    pages = [(i, f"s{i}", f"u{i}" if i < 3 else None, f"t{i}", 1) for i in (1, 2, 3)]
+    spark.createDataFrame(pages, "page_id long, slug string, uuid string, title string, page_version long").write.parquet(str(tmp_path / "mem_pages.parquet"))
+    spark.createDataFrame([(7, 1, 2, "x"), (8, 4, 2, "x"), (9, 2, None, "x")], "link_id long, from_page_id long, to_page_id long, relationship string").write.parquet(str(tmp_path / "links.parquet"))
+    got = lambda name: sorted(tuple(r) for r in queries()[name](spark, str(tmp_path)).collect())
+    assert got("c06_all_outbound_links") == [(7, "s1", "s2", "x")]
+    assert got("c07_all_inbound_links") == [(7, "s1", "x")]
+    assert got("g05_all_graph_additions") == [(1,), (2,), (3,), (4,)]
+    assert got("a11_all_page_reads") == [(1, "s1", "u1", "t1", 1), (2, "s2", "u2", "t2", 1)]
