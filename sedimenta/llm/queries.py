@@ -64,21 +64,32 @@ def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields("knowledge_gaps", "gap_id", ["query_text", "redacted_query"]).unionByName(fields("mem_pages", "page_id", ["compiled_truth"]))
 
 
-def _given(spark: SparkSession, sf_dir: str) -> list[str]:
-    pages = table(spark, sf_dir, "mem_pages").where("slug like 'people/%' or lower(trim(page_type)) in ('person', 'people')")
-    return pii.given_names(pages, "title")
+_PERSON = "slug like 'people/%' or lower(trim(page_type)) in ('person', 'people')"
+
+
+def _pii_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """The texts, all proposed spans, and the model fitted on them."""
+    texts = _free_texts(spark, sf_dir)
+    spans = pii.propose(texts, _FIELD, "value", pii.names(table(spark, sf_dir, "mem_pages"), "title", _PERSON), pii.common_words(texts, "value"))
+    return texts, spans, pii.fit(spans)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = pii.propose(_free_texts(spark, sf_dir), _FIELD, "value", _given(spark, sf_dir))
-    taken = pii.accept(spans, pii.fit(spans))
-    return taken.select(*_FIELD, F.col("kind").alias("pii_kind")).distinct()
+    _, spans, model = _pii_spans(spark, sf_dir)
+    return pii.accept(spans, model).select(*_FIELD, F.col("kind").alias("pii_kind")).distinct()
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, given = _free_texts(spark, sf_dir), _given(spark, sf_dir)
-    model = pii.fit(pii.propose(texts, _FIELD, "value", given))
-    return pii.redact(texts, _FIELD, "value", given, model).where("redacted is not null")
+    texts, spans, model = _pii_spans(spark, sf_dir)
+    return pii.redact(texts, _FIELD, "value", pii.accept(spans, model)).where("redacted is not null")
+
+
+def p4_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vote pattern and shape with its spans, the classifier's probability, and whether it is taken."""
+    _, spans, model = _pii_spans(spark, sf_dir)
+    scores = spark.createDataFrame([(*k, p) for k, p in model.items()], "kind string, votes string, shape string, p double")
+    counts = spans.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n_spans"))
+    return counts.join(F.broadcast(scores), ["kind", "votes", "shape"]).select("kind", "votes", "shape", "n_spans", F.round("p", 6).alias("p"), (F.col("p") >= pii.ACCEPT).alias("taken"))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +114,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents"))).where("flagged").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_redacted": p4_redacted, "p4_model": p4_model, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """

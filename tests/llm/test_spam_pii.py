@@ -5,6 +5,8 @@ import pytest
 
 from sedimenta.llm import pii, spam
 
+from labelled_pii import COMMON, LABELLED
+
 RNG = random.Random(8)
 WORDS = "team report index queue grew fell after before with slow morning review notes about their small plan river keeper found another question because people".split()
 
@@ -50,21 +52,75 @@ TEXT = [
     ("Clara is only the code name of it; Felson & Sons came; Maria left", set()),
     ("mail <EMAIL_1> about @pkg/core@1.7.1", set()),
 ]
+PEOPLE = [("Jo Wu", True)] * 3 + [("Ng Li", False), ("Wu", True), (None, True), ("", True), ("Jo Wu", None)]
+
+
+def people(spark):
+    return spark.createDataFrame(PEOPLE, "title string, person boolean")
+
+
+def model_of(spark, df, key="rid"):
+    spans = pii.propose(df, [key], "value", pii.names(people(spark), "title", "person"), COMMON)
+    return spans, pii.fit(spans)
 
 
 def test_spans_and_redaction(spark):
-    rows = [(i, t) for i, (t, _) in enumerate(TEXT)] * 30 + [(90, None), (91, ""), (92, "word " * 100_000)]
+    rows = [(i, t) for i, (t, _) in enumerate(TEXT)] * 30 + [(90, None), (91, ""), (92, "word " * 100_000), (None, TEXT[0][0]), (93, "with Jo Wu now"), (93, "was met by Jo Wu")]
+    rows += [(100 + i, t) for i, (t, _) in enumerate(LABELLED)]
     df = spark.createDataFrame(rows, "start long, value string").withColumnRenamed("start", "rid")
-    spans = pii.propose(df, ["rid"], "value", [])
-    model = pii.fit(spans)
-    got = {}
-    for r in pii.accept(spans, model).collect():
-        got.setdefault(r.rid, set()).add((r.kind, TEXT[r.rid][0][r.start : r.end]))
-    assert got == {i: want for i, (_, want) in enumerate(TEXT) if want}
-    out = {r.rid: r.redacted for r in pii.redact(df, ["rid"], "value", [], model).collect()}
-    assert out[0] == "who replaced [NAME] for it" and out[5] == TEXT[5][0] and out[90] is None and out[91] == "" and out[92] == "word " * 100_000
-    empty = pii.propose(df.limit(0), ["rid"], "value", [])
-    assert pii.accept(empty, pii.fit(empty)).count() == 0
+    spans, model = model_of(spark, df)
+    assert min(model.values()) < pii.ACCEPT < max(model.values())
+    taken = pii.accept(spans, model)
+    got, texts = {}, {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for r in taken.collect():
+        got.setdefault(r.rid, set()).update((r.kind, t[r.start : r.end]) for t in texts[r.rid][-1:])
+    assert {k: v for k, v in got.items() if k is not None and k < 90} == {i: want for i, (_, want) in enumerate(TEXT) if want}
+    assert got[None] == TEXT[0][1] and ("name", "Jo Wu") in got[93]
+    out = {}
+    for r in pii.redact(df, ["rid"], "value", taken).collect():
+        out.setdefault(r.rid, set()).add(r.redacted)
+    assert out[0] == {"who replaced [NAME] for it"} and out[None] == out[0] and out[5] == {TEXT[5][0]} and out[90] == {None} and out[91] == {""} and out[92] == {"word " * 100_000}
+    assert out[93] == {"with [NAME] now", "was met by [NAME]"}
+    empty, none = model_of(spark, df.limit(0))
+    assert pii.accept(empty, none).count() == 0 and pii.redact(df.limit(0), ["rid"], "value", pii.accept(empty, none)).count() == 0
+
+
+def test_labelled_texts(spark):
+    """What the model is worth: precision and recall over texts labelled by hand, against taking every proposal."""
+    df = spark.createDataFrame(list(enumerate(t for t, _ in LABELLED)), "rid long, value string")
+    spans, model = model_of(spark, df)
+    truth = {(i, k, s) for i, (_, want) in enumerate(LABELLED) for k, s in want}
+    found = lambda rows: {(r.rid, r.kind, LABELLED[r.rid][0][r.start : r.end]) for r in rows}
+    every, taken = found(spans.collect()), found(pii.accept(spans, model).collect())
+    share = lambda a, b: len(a & b) / len(b)
+    print("proposals", len(every), "precision", share(truth, every), "taken", len(taken), "precision", share(truth, taken), "recall", share(taken, truth), "of proposals", share(every, truth))
+    print(sorted(taken - truth), sorted(truth - taken))
+    assert share(truth, taken) > share(truth, every) + 0.2
+    assert share(truth, taken) >= 0.85 and share(taken, truth) >= 0.8
+
+
+def test_overlaps_are_decided_alike():
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = sorted(((round(rng.random(), 1), a := rng.randint(0, 40), a + rng.randint(1, 12), rng.choice(pii.KINDS)) for _ in range(rng.randint(1, 14))), key=lambda s: (s[1], s[2]))
+        taken = []
+        for s in sorted(spans, key=lambda s: (-s[0], s[1] - s[2], s[1], pii.KINDS.index(s[3]))):
+            if all(s[2] <= t[1] or t[2] <= s[1] for t in taken):
+                taken.append(s)
+        assert sorted(spans[k] for k in pii.choose(spans)) == sorted(taken)
+
+
+def test_bloom_filter_and_names(spark):
+    known = pii.names(people(spark), "title", "person")
+    rows = {(r.hash, r.role) for r in known.collect()}
+    h = lambda w: int(pii.word_hashes([w])[0].astype(np.int64))
+    assert {(h("jo"), "given"), (h("wu"), "family"), (h("clara"), "given")} <= rows and (h("ng"), "given") not in rows
+    f = pii.bloom(known)
+    given = np.array([x for x, role in rows if role == "given"], np.int64).view(np.uint64)
+    assert pii.in_bloom(f, given).all()
+    assert pii.in_bloom(f, np.arange(1, 20000, dtype=np.uint64)).mean() < 0.01
 
 
 def test_em_finds_reliable_labelers():
