@@ -2,11 +2,12 @@
 
 Trees are not walked level by level. Where a page's only parent leads on to another page with one parent, and so on, pointers are
 doubled: after k rounds a pointer spans 2^k levels, so a hierarchy of depth d takes log2(d) rounds. Pages with several parents
-are what remains; the graph between them is small, and is searched for strongly connected parts. Only their places are made one such
-page after another: as many rounds as the longest path has pages with several parents.
+are what remains; the ways up through them are joined end to end, doubling too. A page has a place for every way up to a root.
 
-Cycles. The upward pass sends every page to the first page above it that has no parent or several. Pages that never arrive are on
-or below a cycle of only children; the remaining cycles run through pages with several parents and are found between those.
+Cycles. The upward pass sends every page to the first page above it that has no parent or several. Pages that never arrive are left
+unprocessed: they are on or below a cycle of only children. Between the pages with several parents, pages that nothing left leads to, or
+from, are processed from above and from below until none is; those left unprocessed reveal the remaining cycles, and their strongly
+connected parts tell the cycles apart.
 
 Ranges. hierarchy() leaves links within a cycle out, so that what remains has no cycle; what lies below a cycle's other pages is then
 missing from each of its pages and from all above it. whole_hierarchy() and whole_descendants() lose nothing: every cycle is folded to
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, ship, shuffle_parts
+from ..session import free, materialize, measured, ship, shuffle_parts
+from .skew import hot_join
 
 MOST_ROUNDS = 64
 
@@ -52,69 +54,155 @@ def _climb(single: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     a: the first page above v that isn't in single; open: there is none, the walk goes round, and a is a page on the cycle.
     least: of the pages from v up to a.
     """
+    sums = {"n": F.count_if("open"), "s": F.sum(F.when(F.col("open"), F.col("least"))), "h": F.bit_xor(F.when(F.col("open"), F.xxhash64("v", "a")))}
     held = single.select(F.col("v").alias("a"), F.lit(True).alias("open"))
     now = single.join(held, "a", "left").select("v", "a", F.coalesce("open", F.lit(False)).alias("open"), F.col("v").alias("least"))
-    now, rounds, mark = materialize(now, "climb"), [], None
-    for _ in range(MOST_ROUNDS):
+    (now, row), rounds, mark = measured(now, "climb", all=F.count("*"), **sums), [], None
+    n_rows = row["all"]
+    for _ in range(MOST_ROUNDS):  # pointers span 2^k pages: 64 rounds are more than any table has
         rounds.append(now)
-        row = now.where("open").agg(F.count("*").alias("n"), F.countDistinct("a").alias("k"), F.sum("least").alias("s")).first()
-        if not row["n"] or tuple(row) == mark:
+        ring = (row["n"], row["s"])
+        if not row["n"] or ring == mark:
             return now, rounds
-        mark = tuple(row)
+        mark = ring
         there = now.select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("open").alias("open2"), F.col("least").alias("least2"))
-        moving = now.where("open").join(there, "a").select("v", F.col("a2").alias("a"), F.col("open2").alias("open"), F.least("least", "least2").alias("least"))
-        now = materialize(moving.unionByName(now.where("not open")), "climb")
+        moving = hot_join(now.where("open"), there, "a", n_rows).select("v", F.col("a2").alias("a"), F.col("open2").alias("open"), F.least("least", "least2").alias("least"))
+        now, row = measured(moving.unionByName(now.where("not open")), "climb", **sums)
     raise RuntimeError("the hierarchy is too deep")
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """edges (u, w) without those that can't be on a cycle: again and again, pages that nothing leads to or from go."""
-    now, n = materialize(edges.distinct(), "core"), None
-    for _ in range(MOST_ROUNDS):
-        m = now.count()
-        if m in (0, n):
-            return now
-        n = m
-        both = now.select("u").intersect(now.select(F.col("w").alias("u")))
-        now = now.join(both, "u", "left_semi").join(both.withColumnRenamed("u", "w"), "w", "left_semi")
-        now = materialize(now.select("u", "w"), "core")
-    return now
-
-
-def strong_parts(edges: DataFrame) -> DataFrame:
+def unprocessed(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Which links (u, w) between n nodes are left when nodes that nothing (left) leads to, or from, are processed and taken out."""
+    left = np.ones(len(u), bool)
+    for a, b in ((u, w), (w, u)):  # downward and upward
+        order = np.argsort(a, kind="stable")
+        at = np.searchsorted(a[order], np.arange(n + 1))
+        waits = np.bincount(b[left], minlength=n)
+        ready = np.flatnonzero(waits == 0)
+        while len(ready):
+            size = at[ready + 1] - at[ready]
+            e = order[np.repeat(at[ready], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            e = e[left[e]]
+            left[e] = False
+            np.subtract.at(waits, b[e], 1)
+            ready = np.unique(b[e])
+            ready = ready[waits[ready] == 0]
+    return left
+
+
+def _parts_in_one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, w) of a small core -> (node, part): what the passes leave unprocessed, in strongly connected parts."""
+    held = [(b["u"].to_numpy(), b["w"].to_numpy()) for b in it if b.num_rows]
+    if not held:
+        return
+    u, w = (np.concatenate(x) for x in zip(*held))
+    ids, both = np.unique(np.concatenate([u, w]), return_inverse=True)
+    u, w = both[: len(u)], both[len(u) :]
+    own = np.unique(u[u == w])
+    left = unprocessed(u, w, len(ids)) & (u != w)
+    order = np.argsort(u[left], kind="stable")
+    to = w[left][order]
+    at = np.searchsorted(u[left][order], np.arange(len(ids) + 1)).tolist()
+    to = to.tolist()
+    part = np.full(len(ids), -1)
+    number, low, held_at, count = [0] * len(ids), [0] * len(ids), [False] * len(ids), 0
+    stack: list[int] = []
+    for root in np.unique(u[left]).tolist():  # depth first, without recursion
+        if number[root]:
+            continue
+        count += 1
+        number[root] = low[root] = count
+        stack.append(root)
+        held_at[root] = True
+        path = [(root, at[root])]
+        while path:
+            v, k = path.pop()
+            if k < at[v + 1]:
+                path.append((v, k + 1))
+                x = to[k]
+                if not number[x]:
+                    count += 1
+                    number[x] = low[x] = count
+                    stack.append(x)
+                    held_at[x] = True
+                    path.append((x, at[x]))
+                elif held_at[x]:
+                    low[v] = min(low[v], number[x])
+                continue
+            if low[v] == number[v]:
+                members = []
+                while True:
+                    x = stack.pop()
+                    held_at[x] = False
+                    members.append(x)
+                    if x == v:
+                        break
+                if len(members) > 1:
+                    part[members] = min(members)
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[v])
+    part[own] = np.where(part[own] < 0, own, part[own])
+    on = np.flatnonzero(part >= 0)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[part[on]])], ["node", "part"])
+
+
+def _least_reaching(edges: DataFrame, n_rows: int) -> DataFrame:
+    """edges (u, w) within groups c -> (node, c, r): the node of smallest rank that reaches each node, itself included.
+
+    Ranks are hashes. A node takes the best of its predecessors', and of its own's own (a short cut: what reaches the node that reaches it),
+    so that the distance looked back doubles, and rounds follow the logarithm of the longest way.
+    """
+    best = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    nodes = edges.select(F.explode(F.array("u", "w")).alias("node"), "c").distinct()
+    now, row = measured(nodes.select("node", "c", best.alias("r")), "reach", x=F.bit_xor(F.xxhash64("node", "r")))
+    while True:
+        mine = now.select(F.col("node").alias("u"), "r")
+        sent = hot_join(edges.select("u", "w"), mine, "u", n_rows).select(F.col("w").alias("node"), "r")
+        own = now.select("node", F.col("r.n").alias("via"))
+        short = hot_join(own, now.select(F.col("node").alias("via"), "r"), "via", n_rows).select("node", "r")
+        grown = now.select("node", "r").unionByName(sent).unionByName(short).groupBy("node").agg(F.min("r").alias("r"))
+        after, seen = measured(now.select("node", "c").join(grown, "node"), "reach", x=F.bit_xor(F.xxhash64("node", "r")))
+        free(now)
+        now = after
+        if seen == row:
+            return now.select("node", "c", F.col("r.n").alias("r"))
+        row = seen
+
+
+#: Links of a core up to which one task solves it; a larger one is solved in rounds across the cluster, with the same result.
+CORE_EDGES = 500_000
+
+
+def strong_parts(edges: DataFrame, one_task: int = CORE_EDGES) -> DataFrame:
     """(node, part): the nodes of edges (u, w) that lie on a cycle; part: the smallest node of the strongly connected part.
 
-    Colours: every node takes the smallest node that reaches it; the nodes of a colour that reach its source form a part. Parts found are
-    taken out, and the rest is coloured anew. The rounds follow the longest way within the core, not the size of the graph.
+    A core of at most one_task links is one task's work. A larger one: every node takes the node of smallest rank that reaches it; within
+    those that took the same one, the nodes that reach it in turn form its part. Parts found are taken out, links between groups too, and the
+    rest goes on.
     """
-    spark = edges.sparkSession
-    done = spark.createDataFrame([], "node long, part long")
-    core = _trim(edges)
-    while core.count():
-        nodes = core.select(F.col("u").alias("node")).distinct()
-        colour = materialize(nodes.withColumn("c", F.col("node")), "colour")
-        mark = None
-        while True:
-            sent = core.join(colour, F.col("u") == F.col("node")).select(F.col("w").alias("node"), "c")
-            colour = materialize(colour.unionByName(sent).groupBy("node").agg(F.min("c").alias("c")), "colour")
-            row = colour.agg(F.sum("c")).first()[0]
-            if row == mark:
-                break
-            mark = row
-        back = materialize(colour.where("node = c"), "part")
-        inside = core.join(colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("node").alias("w"), F.col("c").alias("cw")), "w")
-        inside = materialize(inside.where("cu = cw").select("u", "w", F.col("cu").alias("c")), "inside")
-        n = -1
-        while (m := back.count()) != n:
-            n = m
-            more = inside.join(back.select(F.col("node").alias("w")), "w").select(F.col("u").alias("node"), "c")
-            back = materialize(back.unionByName(more).distinct(), "part")
-        on = inside.join(back.select(F.col("node").alias("u")), "u", "left_semi").join(back.select(F.col("node").alias("w")), "w", "left_semi")
-        part = on.select(F.col("u").alias("node"), F.col("c").alias("part")).distinct()
-        done = materialize(done.unionByName(part), "parts")
-        rest = core.join(back.select(F.col("node").alias("u")), "u", "left_anti").join(back.select(F.col("node").alias("w")), "w", "left_anti")
-        core = _trim(rest)
-    return done
+    ship(edges.sparkSession)
+    core, row = measured(edges.distinct(), "core", n=F.count("*"))
+    done = None
+    core = core.withColumn("c", F.lit(0).cast("long"))
+    while row["n"] > one_task:
+        n_rows = row["n"]
+        down = _least_reaching(core, n_rows)
+        c = lambda end: down.select(F.col("node").alias(end), F.col("r").alias(f"c{end}"))
+        inside = core.select("u", "w").join(c("u"), "u").join(c("w"), "w").where("cu = cw").select("u", "w", F.col("cu").alias("c"))
+        inside = materialize(inside, "inside")
+        up = _least_reaching(inside.select(F.col("w").alias("u"), F.col("u").alias("w"), "c"), n_rows)
+        # c has the smallest rank of its group, so a node reaches it if it is the smallest it reaches.
+        found = materialize(up.where("r = c").select("node", "c"), "found")
+        on = inside.join(found.select(F.col("node").alias("u")), "u", "left_semi").join(found.select(F.col("node").alias("w")), "w", "left_semi")
+        part = on.select(F.explode(F.array("u", "w")).alias("node"), "c").distinct()
+        least = part.groupBy("c").agg(F.min("node").alias("part"))
+        part = materialize(part.join(least, "c").select("node", "part"), "parts")
+        done = part if done is None else done.unionByName(part)
+        gone = found.select("node")
+        rest = inside.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "w"), "w", "left_anti")
+        core, row = measured(rest.select("u", "w", "c"), "core", n=F.count("*"))
+    last = core.select("u", "w").coalesce(1).mapInArrow(_parts_in_one, "node long, part long")
+    return materialize(last if done is None else done.unionByName(last), "parts")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -123,7 +211,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     loops = edges.where("child = parent").select(F.col("child").alias("node"), F.col("child").alias("label"))
     plain = edges.where("child <> parent")
     count = plain.groupBy("child").agg(F.count("*").alias("n"))
-    counted = materialize(plain.join(count, "child"), "edges")
+    counted = materialize(plain.join(count, "child"), "counted")
     top, rounds = _climb(counted.where("n = 1").select(F.col("child").alias("v"), F.col("parent").alias("a")))
     # Cycles of only children: the last pointers of those who never arrive fall on all pages of the cycles, and on no others.
     ring = top.where("open").select(F.col("a").alias("v")).distinct()
@@ -139,8 +227,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     pu = parts.select(F.col("node").alias("u"), F.col("part").alias("label"))
     pw = parts.select(F.col("node").alias("w"), F.col("part").alias("label"))
     inner = walk.join(pu, "u").join(pw, ["w", "label"])
-    marked = materialize(inner.where("via <> w").select(F.col("via").alias("v"), "label").distinct(), "marked")
-    for table in reversed(rounds):  # all pages between via and w: jumps of every length, longest first
+    marked, row = measured(inner.where("via <> w").select(F.col("via").alias("v"), "label").distinct(), "marked", n=F.count("*"))
+    for table in reversed(rounds if row["n"] else []):  # all pages between via and w: jumps of every length, longest first
         jump = table.where("open").select("v", F.col("a").alias("to"))
         more = marked.join(jump, "v").select(F.col("to").alias("v"), "label")
         marked = materialize(marked.unionByName(more).distinct(), "marked")
@@ -193,26 +281,29 @@ def places(edges: DataFrame, on_cycle: DataFrame) -> DataFrame:
     roots = pages.join(counted.select(F.col("child").alias("page")), "page", "left_anti")
     only = counted.where("n = 1").select(F.col("child").alias("v"), F.col("parent").alias("a"))
     top, _ = _climb(only)
-    ends = top.select("v", F.col("a").alias("t"))
+    ends, row = measured(top.select("v", F.col("a").alias("t")), "ends", n=F.count("*"))
     many = counted.where("n > 1").select(F.col("child").alias("m"), F.col("parent").alias("via"))
-    walk = materialize(many.join(ends.withColumnRenamed("v", "via"), "via", "left").select("m", "via", F.coalesce("t", "via").alias("t")), "walk")
-    fresh = materialize(roots.select(F.col("page").alias("t"), F.lit(0).cast("long").alias("ctx"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("parent_ctx")), "contexts")
-    contexts = [fresh]
-    while True:  # what is left of the links has no cycle, so a round without new contexts comes
-        up = fresh.select("t", F.col("ctx").alias("parent_ctx"))
-        fresh = walk.join(up, "t").select(
-            F.col("m").alias("t"), F.xxhash64("m", "via", "parent_ctx").alias("ctx"), F.col("via").alias("parent"), "parent_ctx"
-        )
-        fresh = materialize(fresh, "contexts")
-        if not fresh.count():
-            break
-        contexts.append(fresh)
-    heads = contexts[0]
-    for x in contexts[1:]:
-        heads = heads.unionByName(x)
-    heads = materialize(heads, "heads")
-    rest = ends.join(heads.select("t", "ctx"), "t").join(only, "v").select(F.col("v").alias("t"), "ctx", F.col("a").alias("parent"), F.col("ctx").alias("parent_ctx"))
-    return heads.unionByName(rest).withColumnRenamed("t", "page")
+    walk = many.join(ends.withColumnRenamed("v", "via"), "via", "left").select("m", "via", F.coalesce("t", "via").alias("t"))
+    # A context is the way up: a page with several parents, the parent taken, the next such page, ..., the root. Ways are joined end to end:
+    # after k rounds those still open have 2^k such pages. What is left of the links has no cycle, so all of them close.
+    inner = many.select(F.col("m").alias("t"), F.lit(True).alias("open")).distinct()
+    ways = walk.join(inner, "t", "left").select("m", F.array("m", "via").alias("way"), "t", F.coalesce("open", F.lit(False)).alias("open"))
+    ways, seen = measured(ways, "ways", n=F.count_if("open"))
+    while seen["n"]:
+        on = ways.select(F.col("m").alias("t"), F.col("way").alias("way2"), F.col("t").alias("t2"), F.col("open").alias("open2"))
+        longer = ways.where("open").join(on, "t").select("m", F.concat("way", "way2").alias("way"), F.col("t2").alias("t"), F.col("open2").alias("open"))
+        past = ways
+        ways, seen = measured(ways.where("not open").unionByName(longer), "ways", n=F.count_if("open"))
+        free(past)
+    heads = ways.select(F.col("m").alias("t"), F.concat("way", F.array("t")).alias("way")).unionByName(roots.select(F.col("page").alias("t"), F.array("page").alias("way")))
+    heads = materialize(heads.withColumn("ctx", F.monotonically_increasing_id()), "heads")
+    above = heads.select(F.col("way").alias("up"), F.col("ctx").alias("parent_ctx"))
+    low = heads.where("size(way) > 1").select("t", "ctx", F.element_at("way", 2).alias("parent"), F.expr("slice(way, 3, size(way))").alias("up"))
+    none = F.lit(None).cast("long")
+    first = heads.where("size(way) = 1").select("t", "ctx", none.alias("parent"), none.alias("parent_ctx"))
+    first = first.unionByName(low.join(above, "up").select("t", "ctx", "parent", "parent_ctx"))
+    rest = hot_join(ends, heads.select("t", "ctx"), "t", row["n"]).join(only, "v").select(F.col("v").alias("t"), "ctx", F.col("a").alias("parent"), F.col("ctx").alias("parent_ctx"))
+    return first.unionByName(rest).withColumnRenamed("t", "page")
 
 
 def hierarchy(edges: DataFrame, ring: DataFrame | None = None) -> DataFrame:
@@ -231,24 +322,21 @@ def hierarchy(edges: DataFrame, ring: DataFrame | None = None) -> DataFrame:
         F.col("page"),
         F.col("parent"),
     )
-    start = materialize(start, "places")
+    start, row = measured(start, "places", n=F.count("*"))
+    n_rows = row["n"]
     # Upward: size after k rounds counts the places less than 2^k levels below; path and depth grow along the same pointers.
+    left = {"n": F.count_if(F.col("a").isNotNull())}
     now = start.select("id", F.col("up").alias("a"), F.lit(1).cast("long").alias("size"), F.array("page").alias("path"))
-    now = materialize(now, "up")
-    for _ in range(MOST_ROUNDS):
+    now, seen = measured(now, "up", **left)
+    while seen["n"]:  # pointers span 2^k places and end at roots
         moving = now.where("a is not null")
-        if not moving.limit(1).count():
-            break
         below = moving.groupBy("a").agg(F.sum("size").alias("more")).withColumnRenamed("a", "id")
         above = now.select(F.col("id").alias("a"), F.col("a").alias("a2"), F.col("path").alias("path2"))
-        grown = now.join(below, "id", "left").join(above, "a", "left")
-        now = grown.select(
-            "id",
-            F.col("a2").alias("a"),
-            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            F.when(F.col("path2").isNotNull(), F.concat("path2", "path")).otherwise(F.col("path")).alias("path"),
-        )
-        now = materialize(now, "up")
+        grown = hot_join(moving, above, "a", n_rows).select("id", F.col("a2").alias("a"), "size", F.concat("path2", "path").alias("path"))
+        grown = grown.unionByName(now.where("a is null")).join(below, "id", "left")
+        past = now
+        now, seen = measured(grown.select("id", "a", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "path"), "up", **left)
+        free(past)
     # Downward: a place begins after its parent and its elder siblings.
     flat = start.join(now.select("id", "size", "path"), "id")
     flat = flat.select("id", "up", "page", "parent", "size", "path", F.coalesce("parent", F.lit(-1)).alias("o1"), F.coalesce(F.col("up.c"), F.lit(0)).alias("o2"))
@@ -256,13 +344,13 @@ def hierarchy(edges: DataFrame, ring: DataFrame | None = None) -> DataFrame:
     first = summed.groupBy("o1", "o2").agg(F.min("before").alias("first"))
     offset = summed.join(first, ["o1", "o2"]).select("id", (F.col("before") - F.col("first")).alias("elder"))
     down = start.join(offset, "id").select("id", F.col("up").alias("a"), (F.col("elder") + F.when(F.col("up").isNotNull(), 1).otherwise(0)).alias("pre"))
-    down = materialize(down, "down")
-    for _ in range(MOST_ROUNDS):
-        if not down.where("a is not null").limit(1).count():
-            break
+    down, seen = measured(down, "down", **left)
+    while seen["n"]:
         above = down.select(F.col("id").alias("a"), F.col("a").alias("a2"), F.col("pre").alias("pre2"))
-        down = down.join(above, "a", "left").select("id", F.col("a2").alias("a"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"))
-        down = materialize(down, "down")
+        moved = hot_join(down.where("a is not null"), above, "a", n_rows).select("id", F.col("a2").alias("a"), (F.col("pre") + F.col("pre2")).alias("pre"))
+        past = down
+        down, seen = measured(moved.unionByName(down.where("a is null")), "down", **left)
+        free(past)
     out = flat.select("id", "page", "parent", "size", "path").join(down.select("id", "pre"), "id")
     out = out.join(ring.select(F.col("node").alias("page"), F.col("cycle_id").alias("cycle_page_id")), "page", "left")
     return out.select(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -47,11 +48,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir where the cluster names one, else a temporary one (tests)."""
+    """The folder all executors see: spark.checkpoint.dir where the cluster names one, else a temporary one in local mode (tests).
+
+    Off local mode a folder must be named: a temporary one would be another folder on every machine.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sedimenta-shared-")
+        named = sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = named or "file://" + tempfile.mkdtemp(prefix="sedimenta-shared-")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -61,13 +68,40 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of any executor: what was written is re-read, not recomputed.
-    The tables are removed when the driver ends, or by release().
+    The tables are removed by free() as soon as an operator needs them no more, else by release() or when the driver ends.
     """
+    return measured(df, label)[0]
+
+
+def measured(df: DataFrame, label: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates over the rows that are counted while they are written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimenta/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_dir(spark)}/sedimenta/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    seen = Observation(f"o{uuid.uuid4().hex}") if metrics else None
+    out = df.observe(seen, *(c.alias(k) for k, c in metrics.items())) if seen else df
+    out.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._sedimenta_path = path
+    return back, dict(seen.get) if seen else {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone; the folder belongs to the cluster
+        pass
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing will read again (those of past rounds)."""
+    for t in tables:
+        path = getattr(t, "_sedimenta_path", None)
+        for held in [x for x in _written if x[1] == path]:
+            _remove(*held)
+            _written.remove(held)
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -76,23 +110,17 @@ def release(spark: SparkSession | None = None) -> None:
     for s, path in _written:
         if spark is not None and s is not spark:
             keep.append((s, path))
-            continue
-        try:
-            jvm = s.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; the folder belongs to the cluster
-            pass
+        else:
+            _remove(s, path)
     _written[:] = keep
 
 
 @atexit.register
 def _at_exit() -> None:
-    for s, path in _written:
-        local = path.removeprefix("file://")
-        if os.path.isdir(local):
-            import shutil
-
+    left = list(_written)
+    release()
+    for _, path in left:
+        if os.path.isdir(local := path.removeprefix("file://")):
             shutil.rmtree(local, ignore_errors=True)
 
 

@@ -116,3 +116,40 @@ def test_many_levels_of_several_parents(spark, monkeypatch):
     edges = {(i, i - 1) for i in range(1, 7)} | {(i, 100 + i) for i in range(1, 7)}
     place = hi.places(frame(spark, edges), spark.createDataFrame([], "node long, cycle_id long"))
     assert sorted(r.page for r in place.collect()) == sorted([0, *range(101, 107), *(i for i in range(1, 7) for _ in range(i + 1))])
+
+
+def test_many_pages_with_several_parents_one_below_the_other(spark):
+    """80 pages, each below the one before and below a root of its own: page k has k + 1 places, and none is lost after any number of levels."""
+    n = 80
+    rows = [(k, k - 1) for k in range(1, n)] + [(k, 1000 + k) for k in range(n)]
+    edges = spark.createDataFrame(rows, "child long, parent long")
+    places = {r.page: r.n for r in hi.places(edges, hi.cycles(edges)).groupBy("page").count().withColumnRenamed("count", "n").collect()}
+    assert all(places[k] == k + 1 for k in range(n)) and all(places[1000 + k] == 1 for k in range(n))
+
+
+def test_a_long_cycle_of_pages_with_second_parents(spark):
+    n = 3000
+    rows = [(k, (k + 1) % n) for k in range(n)] + [(k, 10_000 + k) for k in range(n)] + [(20_000, 20_001), (20_001, 20_000), (20_002, 20_001), (20_003, 20_003)]
+    edges = spark.createDataFrame(rows, "child long, parent long")
+    want = {(k, 0) for k in range(n)} | {(20_000, 20_000), (20_001, 20_000), (20_003, 20_003)}
+    assert {(r.node, r.cycle_id) for r in hi.cycles(edges).collect()} == want
+
+
+def test_a_core_in_rounds_gives_what_one_task_gives(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(75)] + [(100 + k, 100 + (k + 1) % 40) for k in range(40)]
+    edges = spark.createDataFrame(rows, "u long, w long").where("u <> w")
+    one, many = ({(r.node, r.part) for r in hi.strong_parts(edges, size).collect()} for size in (10**6, 0))
+    assert one == many and (139, 100) in one
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from sedimenta.operators.skew import hot_join
+
+    big = spark.range(400).selectExpr("id", "case when id % 3 = 0 then 7 else id end as k")
+    small = spark.range(400).selectExpr("id as k", "id * 2 as v")
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    assert sorted(map(tuple, hot_join(big, small, "k", 400, few=50).select("k", "id", "v").collect())) == want
+    assert sorted(map(tuple, hot_join(big, small, "k", 400).select("k", "id", "v").collect())) == want
