@@ -11,9 +11,10 @@ anything else is attached. Within a bucket, a pair goes on only if 4-bit sketche
 at the threshold, less a margin of two and a half standard deviations; so a bucket of texts that share boilerplate yields
 comparisons but hardly a row. A large bucket is cut into groups, and every two groups are compared in a task of their own. Candidates are then verified on the texts themselves.
 
-Exact copies are folded first (map side), whatever their number: one of each class is signed and compared. Pairs between texts
-that differ are all kept; pairs within a class of copies come out in full for classes of up to FULL_CLASS pages, and as
-(representative, copy) beyond that.
+Exact copies are folded first (map side), whatever their number: one of each class is signed and compared. near_duplicates() gives the
+links between representatives and the membership of every page, which is linear in the pages; all_pairs() writes them out as pairs of
+pages, copies within a class included, at any size of a class. The rows are then as many as the pairs, so a class of n copies has
+n (n - 1) / 2 of them; they are made in cells of CELL by CELL pages, and no task gets more than a cell.
 
 Defined results
 * null, empty and short texts (fewer than `least_words` words) have no pairs and are groups of their own.
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize, ship
+from ..operators.skew import hot_join
+from ..session import materialize, measured, ship
 from . import words as wd
 
 REGISTERS, BAND, SHINGLE, LEAST_WORDS = 256, 4, 3, 20
-FULL_CLASS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -198,12 +199,12 @@ def _verify(threshold: float, n: int, least: int):
 
 def classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) -> (members: id, rep, class_size), (reps: id, text). Copies have the same text to the byte."""
-    keyed = texts.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("h3"))
-    key = ["h1", "h2", "h3"]
-    small = keyed.select("id", *key)
-    size = small.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("class_size"))
-    members = small.join(size, key).select("id", "rep", "class_size")
-    reps = keyed.groupBy(*key).agg(F.min(F.struct("id", "text")).alias("r")).select("r.id", "r.text")
+    parts = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text")]
+    keyed = texts.select("id", "text", F.struct(*(p.alias(f"h{i}") for i, p in enumerate(parts))).alias("key"))
+    small = keyed.select("id", "key")
+    size, row = measured(small.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("class_size")), "classes", n=F.sum("class_size"))
+    members = hot_join(small, size, "key", row["n"] or 0).select("id", "rep", "class_size")  # a class may hold a third of all pages
+    reps = keyed.groupBy("key").agg(F.min(F.struct("id", "text")).alias("r")).select("r.id", "r.text")
     return members, reps
 
 
@@ -243,30 +244,26 @@ def near_duplicates(
     return links, members
 
 
-def all_pairs(links: DataFrame, members: DataFrame, texts: DataFrame, least_words: int = LEAST_WORDS, full_class: int = FULL_CLASS) -> DataFrame:
-    """(a, b), a < b: the links between all pages of the linked classes, and the copies within each class.
-
-    Within a class of more than full_class pages, each page is paired with the smallest id alone; links to other classes hold for all its pages.
-    """
-    many = members.where("class_size > 1")
-    held = many.where(f"class_size <= {full_class}").select("rep", "id")
+def all_pairs(links: DataFrame, members: DataFrame, texts: DataFrame, least_words: int = LEAST_WORDS, cell: int = CELL) -> DataFrame:
+    """(a, b), a < b: the links between all pages of the linked classes, and all pairs of copies within each class."""
+    parts = F.ceil(F.col("class_size") / cell).cast("int")
+    many = members.where("class_size > 1").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    held = many.select("rep", "part", F.col("id").alias("__id"))
+    sizes = many.where("id = rep").select("rep", "parts")
 
     def spread(df: DataFrame, end: str) -> DataFrame:
-        """One row for each page of the class that `end` represents."""
-        m = many.select(F.col("rep").alias(end), F.col("id").alias("__id"))
-        return df.join(m, end, "left").withColumn(end, F.coalesce("__id", end)).drop("__id")
+        """One row for each page of the class that `end` represents: a row is sent to each part of the class."""
+        cut = df.join(sizes.withColumnRenamed("rep", end), end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        met = cut.join(held.withColumnRenamed("rep", end), [end, "part"], "left").where("parts is null or __id is not null")
+        return met.withColumn(end, F.coalesce("__id", end)).drop("__id", "part", "parts")
 
     between = spread(spread(links.select("a", "b"), "a"), "b")
     # Whether a class's text is long enough is decided on its representative's text.
-    long_enough = (
-        texts.join(many.where("id = rep").select("id"), "id", "left_semi").mapInArrow(_enough(least_words), "rep long")
-    )
-    kept = many.join(long_enough, "rep")
-    x, y = held.alias("x"), held.alias("y")
-    small = x.join(y, F.expr("x.rep = y.rep and x.id < y.id")).join(long_enough.alias("l"), F.expr("x.rep = l.rep"), "left_semi")
-    within = small.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(
-        kept.where(f"class_size > {full_class} and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    )
+    long_enough = texts.join(many.where("id = rep").select("id"), "id", "left_semi").mapInArrow(_enough(least_words), "rep long")
+    kept = many.join(long_enough, "rep", "left_semi")
+    x = kept.select("rep", "id", F.col("part").alias("c1"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("c2"))
+    y = kept.select("rep", F.col("id").alias("other"), F.col("part").alias("c2"), F.explode(F.sequence(F.lit(0), "part")).alias("c1"))
+    within = x.join(y, ["rep", "c1", "c2"]).where("c1 < c2 or id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
     return between.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

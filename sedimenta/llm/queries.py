@@ -29,6 +29,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    used = p6_containers(spark, sf_dir).where("container_id is not null").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return used.withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * packing.CAPACITY), 6))
+
+
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): compiled_truth, or summary where that is null or blank."""
     blank = "compiled_truth is null or trim(regexp_replace(compiled_truth, '[\\\\s\\\\p{Z}]', ' ')) = ''"
@@ -50,6 +56,12 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id")
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between representatives of classes of copies; p3_groups has the membership."""
+    links, _ = neardup.near_duplicates(_page_texts(spark, sf_dir))
+    return links.select(F.col("a").alias("class_id_a"), F.col("b").alias("class_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
 _FIELD = ["record_table", "record_id", "field_name"]
 
 
@@ -114,7 +126,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.score_documents(spam.score_blocks(table(spark, sf_dir, "documents"))).where("flagged").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_redacted": p4_redacted, "p4_model": p4_model, "p6_containers": p6_containers, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p3_links": p3_links, "p4_found": p4_found, "p4_redacted": p4_redacted, "p4_model": p4_model, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """

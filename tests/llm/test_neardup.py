@@ -71,12 +71,12 @@ def test_found_pairs(spark):
         assert g[a].group_id == g[b].group_id
 
 
-def test_large_classes_come_as_stars(spark):
+def test_large_classes_come_as_all_pairs(spark):
     text = " ".join(f"u{i}" for i in range(40))
     df = spark.createDataFrame([(i, text) for i in range(60)], "id long, text string")
     links, members = nd.near_duplicates(df)
-    assert {tuple(r) for r in nd.all_pairs(links, members, df, full_class=32).collect()} == {(0, i) for i in range(1, 60)}
-    assert nd.all_pairs(links, members, df, full_class=64).count() == 60 * 59 // 2
+    for cell in (7, 1000):  # in many cells or in one: all pairs
+        assert sorted(tuple(r) for r in nd.all_pairs(links, members, df, cell=cell).collect()) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
 
 
 def test_large_buckets_are_cut(spark, monkeypatch):
@@ -94,10 +94,10 @@ def test_empty(spark):
 
 
 def test_links_of_large_classes(spark):
-    """A page that is near a class of more copies than full_class is paired with all of them."""
+    """A page that is near a class of more copies than a cell holds is paired with all of them."""
     text = " ".join(f"word{i}" for i in range(40))
     df = spark.createDataFrame([*((i, text) for i in range(4)), (9, text + " more")], "id long, text string")
     members = spark.createDataFrame([*((i, 0, 4) for i in range(4)), (9, 9, 1)], "id long, rep long, class_size long")
     links = spark.createDataFrame([(0, 9, 0.9)], "a long, b long, similarity double")
-    got = sorted(tuple(r) for r in nd.all_pairs(links, members, df, full_class=2).collect())
-    assert got == [(0, 1), (0, 2), (0, 3), (0, 9), (1, 9), (2, 9), (3, 9)]
+    got = sorted(tuple(r) for r in nd.all_pairs(links, members, df, cell=2).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (0, 9), (1, 2), (1, 3), (1, 9), (2, 3), (2, 9), (3, 9)]
