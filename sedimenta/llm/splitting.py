@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from . import words as wd
 
 LIMIT, OVERLAP = 1920, 240
+#: Bytes of one text whose boundaries are held at once; boundaries take about a hundred bytes of memory each.
+SEGMENT = 1 << 22
 #: How much more than `overlap` a piece may repeat so as to begin at a sentence or word.
 SLACK = 40
 HEADING, ENTRY, PARAGRAPH, LINE, SENTENCE, WORD, CHAR, BYTE = 7, 6, 5, 4, 3, 2, 1, 0
@@ -43,7 +46,6 @@ _MARKS = [
     (ENTRY, re.compile(_BREAK + rb"(?=(?:---[ \t]*(?:\r|\n|$)|[-*+] |[0-9]{1,3}[.)] ))")),
     (HEADING, re.compile(_BREAK + rb"(?=#{1,6}[ \t])")),
     (SENTENCE, re.compile(rb"(?:[.!?]+[\"')\]]*[ \t]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+)")),
-    (WORD, re.compile(rb"[ \t\xc2]+(?<!\xc2)")),
 ]
 
 
@@ -53,8 +55,8 @@ def boundary_levels(raw: bytes) -> np.ndarray:
     n = len(b)
     level = np.full(n + 1, -1, np.int8)
     level[:n][(b & 0xC0) != 0x80] = CHAR
-    for rank, pattern in reversed(_MARKS[-1:]):
-        level[np.flatnonzero((b[:-1] == 32) | (b[:-1] == 9)) + 1] = np.maximum(level[np.flatnonzero((b[:-1] == 32) | (b[:-1] == 9)) + 1], rank)
+    blank = np.flatnonzero((b[:-1] == 32) | (b[:-1] == 9)) + 1
+    level[blank] = np.maximum(level[blank], WORD)
     for rank, pattern in (_MARKS[4], *_MARKS[:4]):
         for m in pattern.finditer(raw):
             if level[m.end()] < rank:
@@ -84,8 +86,11 @@ def _last(sorted_at: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.where(i >= 0, sorted_at[np.maximum(i, 0)] if len(sorted_at) else -1, -1)
 
 
-def cuts(texts: list[bytes], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, end) of all pieces of all texts, in order. Every text must be longer than `limit` bytes."""
+def cuts(texts: list[bytes], limit: int = LIMIT, overlap: int = OVERLAP, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, end) of all pieces of all texts, in order. Every text must be longer than `limit` bytes.
+
+    begin: the cut (a boundary) from which the texts are gone through.
+    """
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     # One axis for all texts: positions of different texts are more than `limit` apart, so no look-up strays.
     base = np.concatenate([[0], np.cumsum(sizes + 2 * limit)])[:-1]
@@ -127,7 +132,7 @@ def cuts(texts: list[bytes], limit: int = LIMIT, overlap: int = OVERLAP) -> tupl
 
     # Doubling: reached is closed under the first 2^k successors after round k.
     reached = np.zeros(len(at), bool)
-    reached[np.searchsorted(at, base)] = True
+    reached[np.searchsorted(at, base + begin)] = True
     jump = nxt
     while True:
         more = reached.copy()
@@ -140,6 +145,26 @@ def cuts(texts: list[bytes], limit: int = LIMIT, overlap: int = OVERLAP) -> tupl
     return text, start[cut] - base[text], at[nxt[cut]] - base[text]
 
 
+def long_cuts(text: bytes, limit: int = LIMIT, overlap: int = OVERLAP, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces of a text of any length, as cuts() gives them, in segments of bounded size.
+
+    A piece depends on what lies within `limit` and `overlap` of the cut it begins after. So each segment begins well before the last cut,
+    and of its pieces those near its end are left to the next one.
+    """
+    lo, hi, cut = [], [], 0
+    while True:
+        a, z = max(0, cut - 4 * limit), min(len(text), cut + segment)
+        while a and text[a] & 0xC0 == 0x80:
+            a -= 1
+        _, s, e = cuts([text[a:z]], limit, overlap, cut - a)
+        keep = len(s) if z == len(text) else int(np.searchsorted(e, z - a - 2 * limit))
+        lo.append(s[:keep] + a)
+        hi.append(e[:keep] + a)
+        if z == len(text):
+            return np.concatenate(lo), np.concatenate(hi)
+        cut = int(hi[-1][-1])
+
+
 def split_oversized(
     items: DataFrame, keys: list[str], text_col: str, limit: int = LIMIT, overlap: int = OVERLAP, keep_small: bool = False
 ) -> DataFrame:
@@ -164,12 +189,17 @@ def split_oversized(
             sizes = np.fromiter((len(x) for x in raw), np.int64, len(raw))
             large = np.flatnonzero(sizes > limit)
             row, lo, hi = [np.flatnonzero(sizes <= limit)], [np.zeros(len(raw) - len(large), np.int64)], [sizes[sizes <= limit]]
-            for a in range(0, len(large), 512):
-                part = large[a : a + 512]
+            usual = large[sizes[large] <= SEGMENT]
+            for part in (usual[x] for x in wd.chunks(sizes[usual].tolist())):
                 t, s, e = cuts([raw[i] for i in part], limit, overlap)
                 row.append(part[t])
                 lo.append(s)
                 hi.append(e)
+            for i in large[sizes[large] > SEGMENT]:
+                s, e = long_cuts(raw[i], limit, overlap)
+                row.append(np.full(len(s), i))
+                lo.append(s)
+                hi.append(e)
             row, lo, hi = (np.concatenate(x) for x in (row, lo, hi))
             order = np.lexsort((lo, row))
             row, lo, hi = row[order], lo[order], hi[order]

@@ -97,3 +97,12 @@ def test_pack_operator(spark):
     assert {r.doc_id for r in out if r.container_id is None} == {0, 1}
     assert len(fill) == -(-sum(total.values()) // packing.CAPACITY)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_texts_in_segments_are_cut_alike(seed):
+    rng = random.Random(seed)
+    for t in (_text(rng, 120_000).encode(), ("é" * 40_000).encode(), b"z" * 50_000):
+        _, lo, hi = splitting.cuts([t])
+        a, z = splitting.long_cuts(t, segment=20_000)
+        assert (a == lo).all() and (z == hi).all()
