@@ -7,8 +7,9 @@ document's passages and the items' are compared by cosine in the latent space; a
 are checked on the words themselves: the longest common subsequence made of stretches of STRETCH words or more, in the order of
 both texts. Passages without STRETCH words of the items in a row cannot hold such a stretch and aren't compared.
 
-Items are the stated query set; they are taken to the driver in blocks of ITEM_BLOCK, however many there are, and each block is searched
-for in all documents. What is broadcast has the size of a block.
+Items are the stated query set and are held by the driver with the basis of their words. Documents are encoded in the words of all items
+once, and the latent space is made once; the items are then searched for in blocks of ITEM_BLOCK, so that what a task holds of them is
+bounded. Counts and the search take windows every STEP words; the product for the basis takes those that don't overlap.
 
 Words are runs of letters and digits in lower case; markup, zero-width characters and escaped line breaks are taken out first. A word
 of a document that an item writes with punctuation inside (a possessive, a date) counts as the item's words, so that dropped
@@ -30,6 +31,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,9 @@ ITEM_STEP = 4
 RANK, EXTRA, COSINE = 64, 16, 0.75
 STOCK_ITEMS, ITEM_BLOCK = 3, 5000
 PARAPHRASE = 0.9
-_BLOCKS = 64
+_BLOCKS, FAN, _PARTS = 64, 64, "task int, block int, part binary"
+#: Numbers in one product of passages with the items' windows.
+_PRODUCT = 1 << 23
 
 _DROP = re.compile("[​-‍⁠﻿­]|(?<=\\w)-[ \t]*\r?\n[ \t>]*(?=[a-z])")
 _MARKUP = re.compile(r"<[A-Za-z/!][^<>\n]{0,300}>|\]\([^)\s]*\)|\\[nrt](?![a-z]*:)")
@@ -92,15 +96,15 @@ def _hashes(text: str) -> np.ndarray:
     return wd.words([text]).hash
 
 
-def index_items(rows: list[tuple[int, str, str | None]]) -> ItemIndex | None:
-    """rows: (item_id, text without stock sentence, answer)."""
+def index_items(rows: list[tuple[int, str, str | None]], whole: ItemIndex | None = None) -> ItemIndex | None:
+    """rows: (item_id, text without stock sentence, answer). whole: the index of all items, if rows are a block of them: its terms are used."""
     rows = [(i, clean(t), clean(a)) for i, t, a in rows]
     rows = [r for r in rows if len(_hashes(r[1]))]
     if not rows:
         return None
     said = [_hashes(t) for _, t, _ in rows]
     answered = [_hashes(a) for _, _, a in rows]
-    terms = np.unique(np.concatenate(said + answered))
+    terms = whole.terms if whole else np.unique(np.concatenate(said + answered))
     seqs = [_numbers(terms, h) for h in said]
     joined = {}
     for _, t, _ in rows:
@@ -238,7 +242,7 @@ def _count_terms(n_terms: int):
 
 
 def _multiply(m: np.ndarray, idf: np.ndarray):
-    """Rows (block of terms, its part of A^T A M as bytes) of a task's passages."""
+    """Rows (task, block of terms, its part of A^T A M as bytes) of a task's passages, here those that don't overlap: each word counts once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(m.shape, np.float64)
@@ -247,17 +251,26 @@ def _multiply(m: np.ndarray, idf: np.ndarray):
             p, t, n = _cells(ids, bounds, doc, first)
             out += _gram_product(p, t, _weights(p, t, n, idf), m)
         parts = np.array_split(out.astype(np.float32), _BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "part"])
+        task = pa.array([TaskContext.get().partitionId()] * _BLOCKS, pa.int32())
+        yield pa.RecordBatch.from_arrays([task, pa.array(range(_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["task", "block", "part"])
 
     return run
 
 
 def _add(parts: pa.Table) -> pa.Table:
-    """The sum of the tasks' parts of one block of terms: one row a task."""
+    """The sum of up to FAN parts of one block of terms."""
     total = 0.0
     for x in parts["part"]:
         total = total + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-    return pa.table({"block": pa.array([parts["block"][0].as_py()], pa.int32()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"task": parts["task"].slice(0, 1), "block": parts["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _tree_sum(parts: DataFrame, n: int) -> DataFrame:
+    """The sums of the parts of n tasks, by block, in a tree of FAN branches: no task adds more than FAN parts."""
+    while n > 1:
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("block", "task").applyInArrow(_add, _PARTS)
+        n = -(-n // FAN)
+    return parts
 
 
 def _item_cells(ix: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +296,7 @@ def latent_space(encoded: DataFrame, ix: ItemIndex, seed: int = 7) -> tuple[np.n
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
     for _ in range(2):
         q = q.astype(np.float32)
-        parts = encoded.mapInArrow(_multiply(q, idf), "block int, part binary").groupBy("block").applyInArrow(_add, "block int, part binary").collect()
+        parts = _tree_sum(encoded.mapInArrow(_multiply(q, idf), _PARTS), encoded.rdd.getNumPartitions()).collect()  # _BLOCKS rows
         y = _gram_product(p, t, v, q)
         if parts:
             y += np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(parts, key=lambda r: r["block"])]).reshape(n_terms, width)
@@ -378,9 +391,10 @@ def _search(ix: ItemIndex, idf: np.ndarray, basis: np.ndarray, cosine: float):
             ok = (last > first) & (starts[np.maximum(last, first)] > starts[first])
             doc, first = doc[ok], first[ok]
             best: dict[int, np.ndarray] = {}
-            for a in range(0, len(first), 2048):
-                d = doc[a : a + 2048]
-                p, t, n = _cells(ids, bounds, d, first[a : a + 2048])
+            step = max(16, min(2048, _PRODUCT // max(1, items.shape[1])))
+            for a in range(0, len(first), step):
+                d = doc[a : a + step]
+                p, t, n = _cells(ids, bounds, d, first[a : a + step])
                 which, rows = _project(p, t, _weights(p, t, n, idf), basis)
                 near = np.maximum.reduceat(_unit(rows) @ items, edge, axis=1)
                 r, c = np.nonzero(near >= cosine)
@@ -426,19 +440,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     stock = {r["opening"] for r in stock_openings(items).collect()}  # distinct openings shared by several items of the stated set
     out = spark.createDataFrame([], _SCHEMA)
-    rows = items.select("item_id", "item_text", "answer").where("item_text is not null").distinct()
-    for block in batched(rows.toLocalIterator(), ITEM_BLOCK):
-        held = []
-        for r in block:
-            text = r["item_text"].strip()
-            m = re.match(r"[^.!?]*[.!?]+(?=\s)", text)
-            held.append((r["item_id"], text[m.end() :] if m and m.group().lower() in stock else text, r["answer"]))
-        ix = index_items(held)
-        if ix is None:
-            continue
-        encoded = materialize(docs.mapInArrow(_encode_documents(ix), "doc_id long, terms array<int>"), "terms")
-        idf, basis = latent_space(encoded, ix)
-        out = out.unionByName(encoded.mapInArrow(_search(ix, idf, basis, cosine), _SCHEMA))
+    held = []
+    for r in items.select("item_id", "item_text", "answer").where("item_text is not null").distinct().toLocalIterator():
+        text = r["item_text"].strip()
+        m = re.match(r"[^.!?]*[.!?]+(?=\s)", text)
+        held.append((r["item_id"], text[m.end() :] if m and m.group().lower() in stock else text, r["answer"]))
+    whole = index_items(held)
+    if whole is None:
+        return out
+    encoded = materialize(docs.mapInArrow(_encode_documents(whole), "doc_id long, terms array<int>"), "terms")
+    idf, basis = latent_space(encoded, whole)
+    for block in batched(held, ITEM_BLOCK):
+        if ix := index_items(list(block), whole):
+            out = out.unionByName(encoded.mapInArrow(_search(ix, idf, basis, cosine), _SCHEMA))
     return out
 
 

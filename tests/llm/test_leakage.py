@@ -86,3 +86,11 @@ def test_chain_against_brute_force(seed):
                 size.append(run[i][j])
     got = lk.chain(np.array(ii), np.array(jj), np.array(size)) if ii else 0
     assert got <= best[n][m] and got >= 0.9 * best[n][m]
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lk, "FAN", 3)
+    rows = [(t, b, np.full(4, t + 10 * b, np.float32).tobytes()) for t in range(11) for b in range(2)]
+    parts = spark.createDataFrame(rows, "task int, block int, part binary")
+    got = {r.block: np.frombuffer(r.part, np.float32).tolist() for r in lk._tree_sum(parts, 11).collect()}
+    assert got == {b: [float(sum(t + 10 * b for t in range(11)))] * 4 for b in range(2)}
