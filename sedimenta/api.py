@@ -20,6 +20,7 @@ from .operators import scope as sc
 from .operators import sync as sy
 from .operators import vector as ve
 from .operators.scope import active_on
+from .session import materialize
 from .sources.tables import table
 
 MOST_LISTED, LONGEST_RELATIONSHIP, MOST_TAGS, LONGEST_LINE = 1000, 64, 100, 5 * 1024 * 1024
@@ -34,6 +35,7 @@ class Engine:
     config: EngineConfig = field(default_factory=EngineConfig)
     embed_query: Callable[[str], list[float]] | None = None
     stemmed: bool = True
+    _held: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
@@ -74,6 +76,22 @@ class Engine:
     def _index(self) -> DataFrame:
         return lx.index(self.pages, "porter" if self.stemmed else "plain")
 
+    def _postings(self) -> lx.Postings:
+        """Built once an engine; refresh() after the pages change."""
+        if "postings" not in self._held:
+            self._held["postings"] = lx.build(self._index())
+        return self._held["postings"]
+
+    def _vectors(self) -> DataFrame:
+        """(page_id, embedding) of all pages, embedded once an engine."""
+        if "vectors" not in self._held:
+            texts = self.pages.select("page_id", tx.first_nonblank(F.col("summary"), F.col("title")).alias("__t"))
+            self._held["vectors"] = materialize(ve.embed(texts, "__t", self.config.embedding_width).select("page_id", "embedding"), "vectors")
+        return self._held["vectors"]
+
+    def refresh(self) -> None:
+        self._held.clear()
+
     def _clauses(self, sanitized: str) -> str:
         return " ".join(lx.porter.stem(w.lower()) if self.stemmed else w for w in sanitized.split())
 
@@ -81,12 +99,17 @@ class Engine:
         """Lexical search: every word first, then any word; raw takes the expert syntax."""
         scope = self._scope(wing, collection_id, namespace, include_superseded)
         if raw:
-            hit = scope(self._index().where(lx.raw_match(lx.parse_raw(query, self.stemmed))))
-            return hit.select("page_id", "slug", "title", "summary", "wing").orderBy("page_id").limit(limit)
+            tree = lx.parse_raw(query, self.stemmed)
+            hit = self._index().where(lx.raw_match(tree)).select("page_id")
+            words = [[[w]] for w in lx.raw_words(tree)]
+            scored = lx.bm25(self._postings(), words, False, lambda df: scope(df.withColumn("quarantined_at", F.lit(None).cast("timestamp"))))
+            columns = ["page_id", "slug", "title", "summary", "wing"]
+            found = scope(self._postings().docs).join(hit, "page_id", "left_semi").select(*columns).join(scored.select("page_id", "score"), "page_id", "left")
+            return lx.top(found.withColumn("score", F.coalesce("score", F.lit(0.0))), limit)
         clean = lx.sanitize(query)
         if not clean or lx.only_operators(clean):
             clean = ""
-        return lx.tiered(self._index(), self._clauses(clean), limit, lambda df: scope(df.withColumn("quarantined_at", F.lit(None).cast("timestamp"))))
+        return lx.tiered(self._postings(), self._clauses(clean), limit, lambda df: scope(df.withColumn("quarantined_at", F.lit(None).cast("timestamp"))))
 
     def vector_search(self, query: str, limit: int = 10, wing: str | None = None, collection_id: int | None = None, namespace: str | None = "", include_superseded: bool = False) -> DataFrame:
         if not query.strip() or limit <= 0:
@@ -94,7 +117,7 @@ class Engine:
         live = sc.apply_scope(self.pages, wing, collection_id, namespace, include_superseded).select("page_id", "slug", "title", "summary")
         width = self.config.embedding_width
         vec = self.embed_query(query) if self.embed_query else ve.shim_embedding(query.strip(), width).tolist()
-        scored = ve.score_against(ve.embed(live.withColumn("__t", tx.first_nonblank(F.col("summary"), F.col("title"))), "__t", width), vec)
+        scored = ve.score_against(self._vectors().join(live.select("page_id"), "page_id", "left_semi"), vec)
         return ve.best_chunk(scored, "page_id").join(live, "page_id").orderBy(F.col("score").desc(), "page_id").limit(max(limit, 0))
 
     def query(self, text: str, limit: int = 10, wing: str | None = None, collection_id: int | None = None, namespace: str | None = "", include_superseded: bool = False, day: str | None = None, hops: int | None = None) -> DataFrame:
@@ -105,11 +128,11 @@ class Engine:
                 return sc.prefer_namespace(hit, ["slug"], namespace or "").select("page_id", "slug", F.lit(1.0).alias("score"))
         depth = min(max(limit, 10), 200)
         args = dict(wing=wing, collection_id=collection_id, namespace=namespace, include_superseded=include_superseded)
-        lex, vec = self.search(text, depth, **args).select("slug", "score"), self.vector_search(text, depth, **args).select("slug", "score")
+        lex, vec = self.search(text, depth, **args).select("page_id", "score"), self.vector_search(text, depth, **args).select("page_id", "score")
         vec = sc.floor(vec, min(max(self.config.relevance_floor, 0.0), 1.0))
-        out = hy.union(lex, vec) if self.config.merge_strategy == "set-union" else hy.reciprocal_ranks([lex, vec])
-        out = sc.floor(out, self.config.relevance_floor).orderBy(F.col("score").desc(), "slug").limit(depth)
-        out = out.join(self.pages.select("slug", "page_id"), "slug").dropDuplicates(["slug"]).select("page_id", "slug", "score")
+        out = hy.union(lex, vec, "page_id") if self.config.merge_strategy == "set-union" else hy.reciprocal_ranks([lex, vec], "page_id")
+        out = sc.floor(out, self.config.relevance_floor).join(self.pages.select("page_id", "slug"), "page_id").select("page_id", "slug", "score")
+        out = out.orderBy(F.col("score").desc(), "slug", "page_id").limit(depth)
         steps = self.config.graph_depth if hops is None else hops
         if steps and day:
             more = gr.expand(out, self.links, self.pages, day, steps, self.config.graph_max_added, self.config.graph_decay, collection_id)
@@ -159,7 +182,7 @@ class Engine:
 
     def validate(self) -> DataFrame:
         a = hg.overlapping_links(self.links).select(F.lit("overlapping links").alias("problem"), F.col("low").alias("id"))
-        b = hg.dangling(self.links, "to_page_id", self.pages).select(F.lit("dangling link").alias("problem"), F.col("link_id").alias("id"))
+        b = hg.dangling_references(self.links, self.table("assertions"), self.pages)
         c = hg.duplicate_assertions(self.table("assertions")).select(F.lit("duplicate assertion").alias("problem"), F.col("low").alias("id"))
         return a.unionByName(b).unionByName(c)
 
@@ -201,7 +224,10 @@ class Engine:
         """A tool by name, its rows as dictionaries (tools give ranked or listed results of bounded length)."""
         if name not in self.TOOLS:
             raise LookupError(f"there is no tool {name}")
-        return [json.loads(r) for r in getattr(self, name)(**args).toJSON().take(MOST_LISTED)]
+        rows = getattr(self, name)(**args).toJSON().take(MOST_LISTED + 1)
+        if len(rows) > MOST_LISTED:
+            raise OverflowError(f"{name} has more than {MOST_LISTED} rows: ask for its table instead")
+        return [json.loads(r) for r in rows]
 
     def pipe(self, lines: Iterable[str]) -> Iterator[str]:
         """One JSON call a line in, one JSON result a line out; a line that fails gives its error and doesn't end the stream."""

@@ -7,7 +7,7 @@ import re
 #: Classes in order, with the shape of each (fixed values).
 CLASSES = (
     ("EMAIL", r"(?i)\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b"),
-    ("KEY", r"\b(?:sk-(?:proj-)?[A-Za-z0-9_\-]{16,}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[posru]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,})\b"),
+    ("SECRET", r"\b(?:sk-(?:proj-)?[A-Za-z0-9_\-]{16,}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[posru]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,})\b"),
     ("ACCOUNT", r"\b(?:\d[ \-]?){12,18}\d\b"),
     ("PHONE", r"\+?\d{1,3}[\s.\-](?:\(\d{1,4}\)[\s.\-]?)?\d{2,4}(?:[\s.\-]\d{2,4}){1,3}\b"),
     ("TOKEN", r"\b[A-Za-z0-9+/_]{32,}={0,2}\b"),
@@ -31,7 +31,7 @@ class Session:
         return self.tokens[secret]
 
     def scrub(self, text: str) -> str:
-        for name, p in [("KEY", b) for b in self.blocked] + _COMPILED:
+        for name, p in [("SECRET", b) for b in self.blocked] + _COMPILED:
             text = p.sub(lambda m, name=name: self._token(name, m.group()), text)
         return text
 

@@ -58,6 +58,16 @@ def dangling(rows: DataFrame, ref: str, pages: DataFrame, key: str = "page_id")
     return rows.where(F.col(ref).isNotNull()).join(pages.select(F.col(key).alias(ref)), ref, "left_anti")
 
 
+def dangling_references(links: DataFrame, assertions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(problem, id): links with an end, and assertions with a page or a predecessor, that doesn't exist."""
+    a = assertions.select("assertion_id", "page_id", "supersedes_id").distinct()
+    known = a.select(F.col("assertion_id").alias("supersedes_id")).distinct()
+    parts = [dangling(links, end, pages).select(F.lit("dangling link").alias("problem"), F.col("link_id").alias("id")) for end in ("from_page_id", "to_page_id")]
+    parts.append(dangling(a, "page_id", pages).select(F.lit("dangling assertion").alias("problem"), F.col("assertion_id").alias("id")))
+    parts.append(dangling(a, "supersedes_id", known, "supersedes_id").select(F.lit("dangling predecessor").alias("problem"), F.col("assertion_id").alias("id")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+
+
 def is_gap(top_score: Column) -> Column:
     """No result, or none of 0.3 or more, is a gap."""
     return F.coalesce(top_score, F.lit(0.0)) < 0.3

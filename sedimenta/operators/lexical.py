@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import porter
-from ..session import materialize, ship
+from ..session import materialize, measured, ship
 
 COLUMNS = ("title", "slug", "compiled_truth", "timeline")
 K1, B = 1.2, 0.75
@@ -172,6 +172,14 @@ def parse_raw(query: str, stemmed: bool = False) -> Raw:
     return tree
 
 
+def raw_words(node: Raw) -> list[str]:
+    """The words that a match may hold, for its score; those under NOT on the right don't count."""
+    if node.op in ("phrase", "prefix"):
+        return list(node.words)
+    parts = node.parts[:1] if node.op == "not" else node.parts
+    return [w for p in parts for w in raw_words(p)]
+
+
 def index(pages: DataFrame, mode: str = "plain") -> DataFrame:
     """page_id, one token array per indexed column (t_title, ...), and dl; quarantined pages are left out. Other columns stay."""
     seen = pages.where(F.col("quarantined_at").isNull())
@@ -257,60 +265,112 @@ def raw_match(node: Raw) -> Column:
     return found
 
 
-def count_phrases(indexed: DataFrame, query: list[list[list[str]]]) -> DataFrame:
-    """The index's narrow columns with f0, f1, ...: how often each phrase of the query occurs in a page. Written once, so that the
-    statistics and every tier read counts and not texts."""
+@dataclass(frozen=True)
+class Postings:
+    """An inverted index: postings (bucket, term, page_id, dl, places), sorted by term within buckets; docs: the pages' narrow columns; the
+    number of pages and their mean length. A query reads the buckets and row groups of its words only."""
+
+    postings: DataFrame
+    docs: DataFrame
+    n: int
+    mean: float
+    buckets: int
+
+
+#: Places in one column; the column's number is above them, so that no phrase runs from one column into the next.
+_COLUMN_STEP = 1 << 40
+PAGES_A_BUCKET, MOST_BUCKETS = 50_000, 4096
+
+
+def build(indexed: DataFrame) -> Postings:
+    """The postings of an index(), written once."""
+    wide = [f"t_{c}" for c in COLUMNS] + [c for c in ("compiled_truth", "timeline", "frontmatter") if c in indexed.columns]
+    docs, row = measured(indexed.drop(*wide), "pages", n=F.count("*"), mean=F.avg("dl"))
+    buckets = min(MOST_BUCKETS, max(8, row["n"] // PAGES_A_BUCKET))
+
+    def placed(column: str, base: int) -> Column:
+        return F.transform(f"t_{column}", lambda x, i: F.struct(x.alias("term"), (F.lit(base) + i).alias("at")))
+
+    each = indexed.select("page_id", "dl", F.explode(F.concat(*(placed(c, k * _COLUMN_STEP) for k, c in enumerate(COLUMNS)))).alias("t")).select("page_id", "dl", "t.term", "t.at")
+    rows = each.groupBy("term", "page_id", "dl").agg(F.sort_array(F.collect_list("at")).alias("places"))  # the places in one page
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).select("term", "page_id", "dl", "places", "bucket")
+    # A word that most pages have is spread over several files of its bucket.
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
+    return Postings(materialize(rows, "postings", ["bucket"]), docs, row["n"], row["mean"] or 1.0, buckets)
+
+
+def _counted(ix: Postings, query: list[list[list[str]]]) -> tuple[DataFrame, dict]:
+    """(page_id, dl, f0, f1, ...) of the pages that hold a word of the query; and how many pages hold each phrase."""
     flat = [p for clause in query for p in clause]
-    counted = indexed.withColumns({f"f{i}": phrase_count(p) for i, p in enumerate(flat)})
-    return materialize(counted.drop(*(f"t_{c}" for c in COLUMNS), "compiled_truth", "timeline", "frontmatter"), "counted")
+    words = sorted({w for p in flat for w in p})
+    at = [F.pmod(F.xxhash64(F.lit(w)), F.lit(ix.buckets)).cast("int") for w in words]
+    hits = ix.postings.where(F.col("bucket").isin(*at) & F.col("term").isin(words))
+    pages = hits.groupBy("page_id", "dl").agg(*(F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"p{k}") for k, w in enumerate(words)))
+
+    def begins(word: str, k: int) -> Column:
+        return F.transform(f"p{words.index(word)}", lambda x: x - k)
+
+    def times(phrase: list[str]) -> Column:
+        starts = F.col(f"p{words.index(phrase[0])}")
+        for k, w in enumerate(phrase[1:], 1):
+            starts = F.array_intersect(starts, begins(w, k))
+        return F.coalesce(F.size(starts), F.lit(0))
 
+    narrow = pages.select("page_id", "dl", *(F.greatest(times(p), F.lit(0)).alias(f"f{i}") for i, p in enumerate(flat)))
+    return measured(narrow, "counted", **{f"n{i}": F.count_if(F.col(f"f{i}") > 0) for i in range(len(flat))})
 
-def score_counts(counted: DataFrame, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
-    n_phrases = sum(len(clause) for clause in query)
-    aggs = [F.count("*").alias("n"), F.avg("dl").alias("avg")] + [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n_phrases)]
-    s = counted.agg(*aggs).first()  # one row, whatever the size of the index
-    n, avg = s["n"], s["avg"] or 1.0
+
+def _score(counted: DataFrame, query: list[list[list[str]]], every: bool, n: int, mean: float, held: dict) -> DataFrame:
     score, at, hits = F.lit(0.0), 0, []
     for clause in query:
         hit = F.lit(False)
         for _ in clause:
-            f, m = F.col(f"f{at}"), s[f"n{at}"]
+            f, m = F.col(f"f{at}"), held[f"n{at}"]
             idf = max(math.log((n - m + 0.5) / (m + 0.5)), 0.0) or 1e-6
-            score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avg))).otherwise(0.0)
+            score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / mean))).otherwise(0.0)
             hit = hit | (f > 0)
             at += 1
         hits.append(hit)
     keep = hits[0]
     for h in hits[1:]:
         keep = keep & h if every else keep | h
-    out = counted.where(keep).withColumn("score", score).drop(*(f"f{i}" for i in range(n_phrases)))
+    return counted.where(keep).withColumn("score", score).drop(*(f"f{i}" for i in range(at)))
+
+
+def _scored(ix: Postings, met: tuple[DataFrame, dict], query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
+    out = _score(met[0], query, every, ix.n, ix.mean, met[1]).select("page_id", "score").join(ix.docs, "page_id")
     return scope(out) if scope else out
 
 
-def bm25(indexed: DataFrame, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
-    """indexed pages with score, for those that match one (or every) clause. scope: a function of the matched pages.
+def postings_of(indexed: DataFrame | Postings) -> Postings:
+    return indexed if isinstance(indexed, Postings) else build(indexed)
+
+
+def bm25(indexed: DataFrame | Postings, query: list[list[list[str]]], every: bool, scope=None) -> DataFrame:
+    """The pages' narrow columns with score, for those that match one (or every) clause. scope: a function of the matched pages.
 
     Phrases occurring in a query twice count twice. A phrase in half of the pages or more weighs 1e-6.
     """
+    ix = postings_of(indexed)
     if not any(query):
-        return indexed.where("false").withColumn("score", F.lit(0.0))
-    return score_counts(count_phrases(indexed, query), query, every, scope)
+        return ix.docs.where("false").withColumn("score", F.lit(0.0))
+    return _scored(ix, _counted(ix, query), query, every, scope)
 
 
 def top(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.col("score").desc(), F.col("page_id")).limit(limit)
 
 
-def tiered(indexed: DataFrame, sanitized: str, limit: int, scope=None, columns: tuple[str, ...] = ("page_id", "slug", "title", "summary", "wing")) -> DataFrame:
+def tiered(indexed: DataFrame | Postings, sanitized: str, limit: int, scope=None, columns: tuple[str, ...] = ("page_id", "slug", "title", "summary", "wing")) -> DataFrame:
     """(columns, score, tier): pages with every clause first; if they are fewer than limit, pages with any clause below them."""
-    q = clauses(sanitized)
+    ix, q = postings_of(indexed), clauses(sanitized)
     if not q:
-        return indexed.where("false").select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("tier"))
-    counted = count_phrases(indexed, q)
-    first = top(score_counts(counted, q, True, scope), limit).select(*columns, "score").withColumn("tier", F.lit(0))
+        return ix.docs.where("false").select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("tier"))
+    met = _counted(ix, q)
+    first = top(_scored(ix, met, q, True, scope), limit).select(*columns, "score").withColumn("tier", F.lit(0))
     if len(q) <= 1:
         return first
-    rest = top(score_counts(counted, q, False, scope), 2 * limit).select(*columns, "score").withColumn("tier", F.lit(1))
+    rest = top(_scored(ix, met, q, False, scope), 2 * limit).select(*columns, "score").withColumn("tier", F.lit(1))
     both = first.unionByName(rest.join(first.select("page_id"), "page_id", "left_anti").select(*first.columns))
     # At most three times `limit` rows from here on.
     w = Window.partitionBy("tier").orderBy(F.col("score").desc(), "page_id")

@@ -107,6 +107,19 @@ def b18(spark, d):
 
 # --- lexical -----------------------------------------------------------------------------------------------------------------
 
+_built: dict[tuple, lx.Postings] = {}
+
+
+def postings(spark: SparkSession, d: str, mode: str = "plain") -> lx.Postings:
+    """The index of the table's pages, built once for what is stored there: another path or time of change is another index."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/mem_pages.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, d, changed, mode)
+    if key not in _built:
+        _built[key] = lx.build(lx.index(pages(spark, d), mode))
+    return _built[key]
+
+
 _TOK = "CASE WHEN {0} IS NULL THEN [] ELSE regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+') END"
 _INDEX = "idx AS (SELECT page_id, slug, wing, superseded_by, " + ", ".join(f"{_TOK.format(c)} AS t_{c}" for c in lx.COLUMNS) + " FROM mem_pages WHERE quarantined_at IS NULL)"
 
@@ -143,17 +156,17 @@ def _scored(df: DataFrame) -> DataFrame:
 
 @reg("h03_bm25_every_word", _bm25_sql(QUERY, True))
 def h03(spark, d):
-    return _scored(lx.bm25(lx.index(pages(spark, d)), lx.clauses(lx.sanitize(QUERY)), True))
+    return _scored(lx.bm25(postings(spark, d), lx.clauses(lx.sanitize(QUERY)), True))
 
 
 @reg("h04_bm25_any_word", _bm25_sql(QUERY, False))
 def h04(spark, d):
-    return _scored(lx.bm25(lx.index(pages(spark, d)), lx.clauses(lx.sanitize(QUERY)), False))
+    return _scored(lx.bm25(postings(spark, d), lx.clauses(lx.sanitize(QUERY)), False))
 
 
 @reg("h09_numeric_aliases", _bm25_sql(NUMBERS, False))
 def h09(spark, d):
-    return _scored(lx.bm25(lx.index(pages(spark, d)), lx.clauses(lx.sanitize(NUMBERS)), False))
+    return _scored(lx.bm25(postings(spark, d), lx.clauses(lx.sanitize(NUMBERS)), False))
 
 
 _LIVE = "superseded_by IS NULL AND wing = 'projects'"
@@ -165,7 +178,7 @@ def _live(df: DataFrame) -> DataFrame:
 
 @reg("f01_bm25_top", f"SELECT * FROM ({_bm25_sql(QUERY, False, _LIVE)}) ORDER BY score DESC, page_id LIMIT 20")
 def f01(spark, d):
-    hits = lx.bm25(lx.index(pages(spark, d)), lx.clauses(lx.sanitize(QUERY)), False, _live)
+    hits = lx.bm25(postings(spark, d), lx.clauses(lx.sanitize(QUERY)), False, _live)
     return lx.top(_scored(hits), 20)
 
 
@@ -178,7 +191,7 @@ SELECT page_id, slug, tier FROM u ORDER BY tier, rn LIMIT 1000"""
 
 @reg("h05_tiered_search", _TIERED)
 def h05(spark, d):
-    return lx.tiered(lx.index(pages(spark, d)), lx.sanitize(QUERY), 1000).select("page_id", "slug", "tier")
+    return lx.tiered(postings(spark, d), lx.sanitize(QUERY), 1000).select("page_id", "slug", "tier")
 
 
 _RAW = '(title : "token budget" OR snippet win*) NOT teams'
@@ -206,14 +219,13 @@ def h02(spark, d):
 @reg("h07_porter_search")
 def h07(spark, d):
     q = [[[lx.porter.stem(w)]] for w in ("snippet", "windows", "blocked")]
-    return _scored(lx.bm25(lx.index(pages(spark, d), "porter"), q, False))
+    return _scored(lx.bm25(postings(spark, d, "porter"), q, False))
 
 
 @reg("h14_postings", f"WITH {_INDEX}, x AS (SELECT page_id, unnest(list_concat(t_title, list_concat(t_slug, list_concat(t_compiled_truth, t_timeline)))) AS term FROM idx) SELECT term, count(DISTINCT page_id) AS pages, count(*) AS occurrences FROM x GROUP BY term")
 def h14(spark, d):
-    each = lx.index(pages(spark, d)).select("page_id", F.explode(F.concat(*(f"t_{c}" for c in lx.COLUMNS))).alias("term"))
-    per = each.groupBy("term", "page_id").agg(F.count("*").alias("tf"))
-    return per.groupBy("term").agg(F.count("*").alias("pages"), F.sum("tf").alias("occurrences"))
+    """What the written index holds of every word."""
+    return postings(spark, d).postings.groupBy("term").agg(F.count("*").alias("pages"), F.sum(F.size("places").cast("long")).alias("occurrences"))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------------
@@ -288,7 +300,7 @@ _LEX = f"SELECT slug, score FROM ({_bm25_sql(QUERY, False, 'superseded_by IS NUL
 
 
 def _arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hits = _scored(lx.bm25(lx.index(pages(spark, d)), lx.clauses(lx.sanitize(QUERY)), False, lambda x: x.where("superseded_by is null")))
+    hits = _scored(lx.bm25(postings(spark, d), lx.clauses(lx.sanitize(QUERY)), False, lambda x: x.where("superseded_by is null")))
     lex = hits.select("slug", "score").orderBy(F.col("score").desc(), "slug").limit(200)
     vec = _vector_arm(spark, d).select("slug", "score").orderBy(F.col("score").desc(), "slug").limit(200)
     return lex, vec

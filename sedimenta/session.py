@@ -64,22 +64,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", by: list[str] | None = None) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of any executor: what was written is re-read, not recomputed.
     The tables are removed by free() as soon as an operator needs them no more, else by release() or when the driver ends.
     """
-    return measured(df, label)[0]
+    return measured(df, label, by)[0]
 
 
-def measured(df: DataFrame, label: str = "stage", **metrics: Column) -> tuple[DataFrame, dict]:
-    """materialize(), and aggregates over the rows that are counted while they are written."""
+def measured(df: DataFrame, label: str = "stage", by: list[str] | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates over the rows that are counted while they are written. by: columns whose values are folders, the last ones."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sedimenta/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     seen = Observation(f"o{uuid.uuid4().hex}") if metrics else None
     out = df.observe(seen, *(c.alias(k) for k, c in metrics.items())) if seen else df
-    out.write.option("compression", "zstd").parquet(path)
+    writer = out.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._sedimenta_path = path

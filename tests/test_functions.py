@@ -92,7 +92,7 @@ def test_secrets():
     s = redaction.Session(["Project Zed", "Zed"])
     text = "mail a@b.com, a@b.com; key sk-abcdefghijklmnop1234; card 4111 1111 1111 1111; project zed and zed"
     out = s.scrub(text)
-    assert out == "mail <EMAIL_1>, <EMAIL_1>; key <KEY_3>; card <ACCOUNT_1>; <KEY_1> and <KEY_2>"
+    assert out == "mail <EMAIL_1>, <EMAIL_1>; key <SECRET_3>; card <ACCOUNT_1>; <SECRET_1> and <SECRET_2>"
     assert s.rehydrate(out) == text and s.rehydrate("<EMAIL_9>") == "<EMAIL_9>"
 
 
