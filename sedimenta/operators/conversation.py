@@ -28,7 +28,20 @@ def idle_sessions(events: DataFrame, key: str, ts: str, seconds: int) -> DataFra
     return e.groupBy(key, "session_no").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
 
-_RANK = {"debounce": 0, "manual": 1, "session_close": 2}
+def ordinals(turns: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """turns with ordinal: 1, 2, ... within a conversation, by time and then by the tie."""
+    return turns.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)))
+
+
+def cursors(turns: DataFrame, key: str, ts: str) -> DataFrame:
+    """key + (max_ordinal, last_at): where each conversation stands."""
+    return turns.groupBy(key).agg(F.count("*").alias("max_ordinal"), F.max(ts).alias("last_at"))
+
+
+def close_sessions(sessions: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """idle_sessions() with closed_at: sessions silent for `seconds` at `now` are closed at their last turn."""
+    idle = F.timestamp_diff("MICROSECOND", F.col("ended"), now) >= seconds * 1_000_000
+    return sessions.withColumn("closed_at", F.when(idle, F.col("ended")))
 
 
 def merge_triggers(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:

@@ -112,3 +112,20 @@ def cross_reference_boost(results: DataFrame, links: DataFrame, day: str, weight
     inner = inner.join(ids.withColumnRenamed("page_id", "to_page_id"), "to_page_id", "left_semi").where("from_page_id <> to_page_id")
     boost = inner.groupBy(F.col("to_page_id").alias("page_id")).agg(F.least(F.lit(cap), weight * F.sum("edge_weight")).alias("boost"))
     return results.join(boost, "page_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+
+
+def edge_outcomes(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """links with outcome: kept, unresolved (no live target) or other collection. Links whose source isn't there are left out."""
+    s = pages.select(F.col("page_id").alias("from_page_id"), F.col("collection_id").alias("__cs"))
+    t = pages.where("quarantined_at is null").select(F.col("page_id").alias("to_page_id"), F.col("collection_id").alias("__ct"))
+    met = links.join(s, "from_page_id").join(t, "to_page_id", "left")
+    outcome = F.when(F.col("__ct").isNull(), "unresolved").when(F.col("__ct") != F.col("__cs"), "other collection").otherwise("kept")
+    return met.withColumn("outcome", outcome).drop("__cs", "__ct")
+
+
+def mark_superseded(pages: DataFrame, successors: DataFrame) -> DataFrame:
+    """pages with superseded_by set from successors (page_id, new_id), where it isn't set, and the successor is another live page of the same collection."""
+    new = pages.where("superseded_by is null").select(F.col("page_id").alias("new_id"), F.col("collection_id").alias("__c"))
+    good = successors.where("page_id <> new_id").join(new, "new_id").groupBy("page_id", "__c").agg(F.min("new_id").alias("__new"))
+    met = pages.join(good.withColumnRenamed("__c", "collection_id"), ["page_id", "collection_id"], "left")
+    return met.withColumn("superseded_by", F.coalesce("superseded_by", "__new")).drop("__new")

@@ -68,6 +68,54 @@ def dangling_references(links: DataFrame, assertions: DataFrame, pages: DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
 
 
+def missing_field(required: dict[str, Column]) -> Column:
+    """The name of the first required field that is null or blank; null if none is."""
+    out = F.lit(None).cast("string")
+    for name, c in reversed(required.items()):
+        out = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", name).otherwise(out)
+    return out
+
+
+def route_matches(matches: DataFrame, keys: list[str], id_col: str, score: str) -> DataFrame:
+    """keys + (score, id_col): matches of one triple folded into one, with the best score and the smallest id; keys in lower case without blanks at the ends."""
+    folded = matches.withColumns({k: F.lower(F.trim(k)) for k in keys[:-1]})
+    return folded.groupBy(*keys).agg(F.max(score).alias(score), F.min(id_col).alias(id_col))
+
+
+def resolve_gaps(gaps: DataFrame, answered: Column, at: Column) -> DataFrame:
+    """gaps with resolved_at set where they are answered and still open; a gap resolved once keeps its time."""
+    return gaps.withColumn("resolved_at", F.when(answered & F.col("resolved_at").isNull(), at).otherwise(F.col("resolved_at")))
+
+
+def sweep(rows: DataFrame, since: str, now: Column, ttl_seconds: int, held: DataFrame, key: str) -> DataFrame:
+    """Quarantined rows that are old enough to go and aren't held by anything that only the database has."""
+    old = rows.where(F.col(since).isNotNull() & (F.timestamp_diff("SECOND", F.col(since), now) >= ttl_seconds))
+    return old.join(held.select(key).distinct(), key, "left_anti")
+
+
+def restore(pages: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pages after taking the wanted ones (page_id) out of quarantine, those refused: their place (keys) is taken by a live page)."""
+    ask = pages.join(wanted.select("page_id").distinct(), "page_id", "left_semi").where("quarantined_at is not null")
+    taken = pages.where("quarantined_at is null").select(*keys).distinct()
+    refused = ask.join(taken, keys, "left_semi").select("page_id")
+    free_ = ask.join(taken, keys, "left_anti").groupBy(*keys).agg(F.min("page_id").alias("page_id")).select("page_id")  # one page a place
+    back = pages.join(free_.withColumn("__back", F.lit(True)), "page_id", "left")
+    return back.withColumn("quarantined_at", F.when(F.col("__back"), None).otherwise(F.col("quarantined_at"))).drop("__back"), refused
+
+
+def resolve_contradictions(pairs: DataFrame, assertions: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    """(low, high, kept, closed) of contradicting pairs: the more confident one is kept, then the later one; and the assertions, closed ones ending on day."""
+    one = assertions.groupBy("assertion_id").agg(F.max("confidence").alias("c"))
+    low, high = (one.select(F.col("assertion_id").alias(k), F.coalesce("c", F.lit(0.0)).alias(f"c_{k}")) for k in ("low", "high"))
+    met = pairs.select("low", "high").join(low, "low").join(high, "high")
+    first = F.col("c_low") > F.col("c_high")
+    out = met.select("low", "high", F.when(first, F.col("low")).otherwise(F.col("high")).alias("kept"), F.when(first, F.col("high")).otherwise(F.col("low")).alias("closed"))
+    gone = out.select(F.col("closed").alias("assertion_id")).distinct().withColumn("__gone", F.lit(True))
+    after = assertions.join(gone, "assertion_id", "left")
+    until = F.when(F.col("__gone"), F.least(F.coalesce("valid_until", F.lit(day)), F.lit(day))).otherwise(F.col("valid_until"))
+    return out, after.withColumn("valid_until", until).drop("__gone")
+
+
 def is_gap(top_score: Column) -> Column:
     """No result, or none of 0.3 or more, is a gap."""
     return F.coalesce(top_score, F.lit(0.0)) < 0.3

@@ -35,6 +35,13 @@ def only_operators(sanitized: str) -> bool:
     return bool(words) and all(w.strip('"') in _OPERATORS and w.startswith('"') for w in words)
 
 
+def is_only_operators(query: Column) -> Column:
+    """Whether a query has words and all of them are operators in upper case."""
+    words = F.trim(F.regexp_replace(query, r"[^\p{L}\p{N}]+", " "))
+    one = "(" + "|".join(sorted(_OPERATORS)) + ")"
+    return words.rlike(f"^{one}( {one})*$")
+
+
 def _grouped(digits: str) -> str | None:
     """Digits in groups of three from the right, if there are more than three."""
     return f"{int(digits):,}".replace(",", " ") if len(digits) > 3 and digits[0] != "0" else None if len(digits) <= 3 else re.sub(r"(?<=\d)(?=(?:\d{3})+$)", " ", digits)

@@ -124,6 +124,12 @@ def best_by_label(rows: DataFrame, queries: DataFrame, label_col: str = "label",
     return out.groupBy("query_id", "label").agg(F.max("score").alias("score"))
 
 
+def evidence(model: Column, stand_in: str = "stand-in") -> tuple[Column, Column]:
+    """(kind, may_supersede): what vectors of the stand-in are worth; only a model's may supersede a fact."""
+    kind = F.when(model.isNull() | (model == stand_in), "stand-in").otherwise("model")
+    return kind, F.when(kind == "stand-in", "refused").otherwise("allowed")
+
+
 def best_chunk(scored: DataFrame, page_col: str, score_col: str = "score") -> DataFrame:
     return scored.groupBy(page_col).agg(F.max(score_col).alias(score_col))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import conversation as cv
+from ..operators import graph as gr
 from ..operators import hybrid as hy
 from ..operators import hygiene as hg
+from ..operators import lexical as lx
 from ..operators import scope as sc
 from ..operators import sync as sy
 from ..operators import vector as ve
@@ -24,10 +27,12 @@ def now():
     return F.expr(f"TIMESTAMP_NTZ '{NOW}'")
 
 
-@reg("b09_operator_only_query", "SELECT doc_id, NOT regexp_matches(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '[^ANDORTE ]') AS only_operators FROM documents WHERE text IS NOT NULL")
+@reg("b09_operator_only_query", """WITH q AS (SELECT doc_id AS id, text AS query FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES (-1, 'AND OR'), (-2, 'and or'), (-3, 'NOT "NEAR"'), (-4, '...'), (-5, 'ANDROID')))
+SELECT id, regexp_matches(trim(regexp_replace(query, '[^\\p{L}\\p{N}]+', ' ', 'g')), '^(AND|NEAR|NOT|OR)( (AND|NEAR|NOT|OR))*$') AS only_operators FROM q""")
 def b09(spark, d):
-    t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", (~F.regexp_replace("text", "[^A-Za-z]+", " ").rlike("[^ANDORTE ]")).alias("only_operators"))
+    said = spark.createDataFrame([(-1, "AND OR"), (-2, "and or"), (-3, 'NOT "NEAR"'), (-4, "..."), (-5, "ANDROID")], "id long, query string")
+    q = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("query")).unionByName(said)
+    return q.select("id", lx.is_only_operators(F.col("query")).alias("only_operators"))
 
 
 @reg("b13_page_listing_by_collection", "SELECT slug, page_type FROM mem_pages WHERE collection_id = 1 AND namespace_id IN ('team-orchard', '') ORDER BY updated_at DESC, slug LIMIT 1000")
@@ -36,11 +41,14 @@ def b13(spark, d):
     return p.orderBy(F.col("updated_at").desc(), "slug").limit(1000).select("slug", "page_type")
 
 
-@reg("f03_exact_depth", "SELECT count(*) AS n FROM (SELECT 1 FROM embeddings q JOIN embeddings r ON TRUE WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY r.vec_id) <= 200)")
+@reg("f03_exact_depth", f"""SELECT query_id, id, round(s, 6) AS score, rn AS rank FROM (
+  SELECT q.vec_id AS query_id, r.vec_id AS id, {sq._COS.format('q.embedding', 'r.embedding')} AS s,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({sq._COS.format('q.embedding', 'r.embedding')}, 12) DESC, r.vec_id) AS rn
+  FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0) WHERE rn <= 200""", longs=("rank",))
 def f03(spark, d):
-    """A search as deep as asked for gives that many rows for every query."""
+    """The neighbours at a depth of 200, beyond any candidate list."""
     e = table(spark, d, "embeddings")
-    return ve.knn(e, e.where("vec_id % 50 = 0"), 200).agg(F.count("*").alias("n"))
+    return ve.knn(e, e.where("vec_id % 50 = 0"), 200).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @reg("g03_quality_passes", f"SELECT slug, score FROM ({sq.SQL['g02_union_fusion']}) WHERE score >= 0.35 ORDER BY score DESC, slug LIMIT 25")
@@ -57,8 +65,6 @@ SELECT page_id, round(score, 9) AS score FROM (SELECT page_id, score FROM seeds
 
 @reg("g04_search_with_hops", _ONE_HOP)
 def g04(spark, d):
-    from ..operators import graph as gr
-
     seeds = sq.g01(spark, d).join(table(spark, d, "mem_pages").select("slug", "page_id"), "slug").select("page_id", "score")
     more = gr.expand(seeds, tq.links(spark, d), table(spark, d, "mem_pages"), sq.DAY, 1)
     return seeds.unionByName(more.select("page_id", "score")).select("page_id", F.round("score", 9).alias("score"))
@@ -74,8 +80,8 @@ def h15(spark, d):
 def i15(spark, d):
     """Vectors of the pages divisible by 5 go; new ones come for those divisible by 10."""
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    gone = e.where("vec_id % 5 = 0").select("vec_id")
-    return e.join(gone, "vec_id", "left_anti").unionByName(e.where("vec_id % 10 = 0").withColumn("label", F.col("label") + 100))
+    new = e.where("vec_id % 10 = 0").withColumn("label", F.col("label") + 100)
+    return sy.replace_rows(e, e.where("vec_id % 5 = 0"), new, "vec_id")
 
 
 @reg("i17_pages_to_embed", "SELECT page_id FROM mem_pages WHERE quarantined_at IS NULL AND (page_id NOT IN (SELECT vec_id FROM embeddings) OR updated_at > created_at + INTERVAL 30 DAY)")
@@ -86,20 +92,15 @@ def i17(spark, d):
     return p.join(e, "page_id", "left").where(F.col("has").isNull() | late).select("page_id")
 
 
-@reg("i20_evidence_kind", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'stand-in' ELSE 'model' END AS evidence, CASE WHEN vec_id % 2 = 0 THEN 'refused' ELSE 'allowed' END AS may_supersede FROM embeddings")
+@reg("i20_evidence_kind", "SELECT assertion_id, source_ref, CASE WHEN source_ref IS NULL OR source_ref = '' THEN 'stand-in' ELSE 'model' END AS evidence, CASE WHEN source_ref IS NULL OR source_ref = '' THEN 'refused' ELSE 'allowed' END AS may_supersede FROM assertions")
 def i20(spark, d):
-    kind = F.when(F.col("vec_id") % 2 == 0, "stand-in").otherwise("model")
-    e = table(spark, d, "embeddings").select("vec_id", kind.alias("evidence"))
-    return e.withColumn("may_supersede", F.when(F.col("evidence") == "stand-in", "refused").otherwise("allowed"))
+    kind, may = ve.evidence(F.nullif("source_ref", F.lit("")))
+    return table(spark, d, "assertions").select("assertion_id", "source_ref", kind.alias("evidence"), may.alias("may_supersede"))
 
 
 @reg("j09_frontmatter_edge_sync", "SELECT DISTINCT l.link_id, CASE WHEN p.page_id IS NULL THEN 'unresolved' WHEN p.collection_id <> s.collection_id THEN 'other collection' ELSE 'kept' END AS outcome FROM links l JOIN mem_pages s ON s.page_id = l.from_page_id LEFT JOIN mem_pages p ON p.page_id = l.to_page_id AND p.quarantined_at IS NULL WHERE l.source_kind = 'frontmatter'")
 def j09(spark, d):
-    p = table(spark, d, "mem_pages")
-    s = p.select(F.col("page_id").alias("from_page_id"), F.col("collection_id").alias("cs"))
-    t = p.where("quarantined_at is null").select(F.col("page_id").alias("to_page_id"), F.col("collection_id").alias("ct"))
-    l_ = tq.links(spark, d).where("source_kind = 'frontmatter'").join(s, "from_page_id").join(t, "to_page_id", "left")
-    return l_.select("link_id", F.when(F.col("ct").isNull(), "unresolved").when(F.col("ct") != F.col("cs"), "other collection").otherwise("kept").alias("outcome"))
+    return gr.edge_outcomes(tq.links(spark, d).where("source_kind = 'frontmatter'"), table(spark, d, "mem_pages")).select("link_id", "outcome")
 
 
 @reg("j13_tolerant_fields", "SELECT page_id, json_valid(frontmatter) AND frontmatter <> '' AS readable FROM mem_pages WHERE frontmatter IS NOT NULL")
@@ -116,12 +117,17 @@ def j14(spark, d):
     return one.select(F.col("superseded_by").alias("head"), F.col("page_id").alias("predecessor"))
 
 
-@reg("j16_mark_superseded", "SELECT a.page_id, coalesce(a.superseded_by, b.page_id) AS superseded_by FROM mem_pages a LEFT JOIN mem_pages b ON a.page_id % 50 = 0 AND b.page_id = a.page_id + 1 AND b.collection_id = a.collection_id AND b.superseded_by IS NULL")
+_SUCC = "SELECT a.page_id, min(b.page_id) AS new_id FROM mem_pages a JOIN mem_pages b ON b.title = a.title AND b.collection_id = a.collection_id AND b.page_id > a.page_id AND b.superseded_by IS NULL GROUP BY 1"
+
+
+@reg("j16_mark_superseded", f"WITH s AS ({_SUCC}) SELECT a.page_id, coalesce(a.superseded_by, s.new_id) AS superseded_by FROM mem_pages a LEFT JOIN s USING (page_id)")
 def j16(spark, d):
+    """Pages of one title: the next live one of the collection takes over."""
     p = table(spark, d, "mem_pages")
-    b = p.where("superseded_by is null").select((F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("new"), "collection_id")
-    b = b.where("page_id % 50 = 0")
-    return p.select("page_id", "collection_id", "superseded_by").join(b, ["page_id", "collection_id"], "left").select("page_id", F.coalesce("superseded_by", "new").alias("superseded_by"))
+    a = p.select("page_id", "collection_id", "title")
+    b = p.where("superseded_by is null").select(F.col("page_id").alias("new_id"), "collection_id", "title")
+    s = a.join(b, ["collection_id", "title"]).where("new_id > page_id").groupBy("page_id").agg(F.min("new_id").alias("new_id"))
+    return gr.mark_superseded(p, s).select("page_id", "superseded_by")
 
 
 @reg("k44_rehydrate_marks", "SELECT gap_id, len(regexp_extract_all(redacted_query, '<[A-Z]+_[0-9]+>')) AS marks FROM (SELECT DISTINCT gap_id, redacted_query FROM knowledge_gaps) WHERE redacted_query IS NOT NULL", longs=('marks',))
@@ -132,22 +138,20 @@ def k44(spark, d):
 
 @reg("k47_fact_validation", "SELECT DISTINCT assertion_id, CASE WHEN trim(coalesce(subject, '')) = '' THEN 'about' WHEN trim(coalesce(evidence_text, '')) = '' THEN 'summary' END AS missing FROM assertions")
 def k47(spark, d):
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    a = table(spark, d, "assertions")
-    return a.select("assertion_id", F.when(blank("subject"), "about").when(blank("evidence_text"), "summary").alias("missing")).distinct()
+    missing = hg.missing_field({"about": F.col("subject"), "summary": F.col("evidence_text")})
+    return table(spark, d, "assertions").select("assertion_id", missing.alias("missing")).distinct()
 
 
 @reg("l02_head_selection", "WITH k AS (SELECT page_id, lower(trim(predicate)) AS predicate, assertion_id, row_number() OVER (PARTITION BY page_id, lower(trim(predicate)) ORDER BY assertion_id DESC) AS rn FROM (SELECT DISTINCT page_id, predicate, assertion_id FROM assertions)) SELECT page_id, predicate, assertion_id AS head FROM k WHERE rn = 1")
 def l02(spark, d):
     a = table(spark, d, "assertions").select("page_id", F.lower(F.trim("predicate")).alias("predicate"), "assertion_id")
-    return a.groupBy("page_id", "predicate").agg(F.max("assertion_id").alias("head"))
+    return sy.newest(a, ["page_id", "predicate"], "assertion_id", "assertion_id").withColumnRenamed("assertion_id", "head")
 
 
 @reg("l05_route_matches", "SELECT lower(trim(subject)) AS subject, lower(trim(predicate)) AS predicate, object_text, max(confidence) AS confidence, min(assertion_id) AS assertion_id FROM assertions GROUP BY 1, 2, 3")
 def l05(spark, d):
     """Matches of one triple folded into one, with the best confidence."""
-    a = table(spark, d, "assertions").withColumns({"subject": F.lower(F.trim("subject")), "predicate": F.lower(F.trim("predicate"))})
-    return a.groupBy("subject", "predicate", "object_text").agg(F.max("confidence").alias("confidence"), F.min("assertion_id").alias("assertion_id"))
+    return hg.route_matches(table(spark, d, "assertions"), ["subject", "predicate", "object_text"], "assertion_id", "confidence")
 
 
 @reg("l06_entity_backfill", "SELECT predicate, count(*) AS matches, count(DISTINCT subject) AS subjects FROM (" + __import__("sedimenta.plans.scalar_queries", fromlist=["SQL"]).SQL["k18_entity_patterns"] + ") GROUP BY 1")
@@ -157,28 +161,30 @@ def l06(spark, d):
     return sc_q.k18(spark, d).groupBy("predicate").agg(F.count("*").alias("matches"), F.countDistinct("subject").alias("subjects"))
 
 
-@reg("l12_resolve_gaps", f"SELECT DISTINCT gap_id, strftime(CASE WHEN gap_id % 50 = 0 AND resolved_at IS NULL THEN TIMESTAMP '{NOW}' ELSE resolved_at END, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM knowledge_gaps")
+@reg("l12_resolve_gaps", f"SELECT DISTINCT gap_id, strftime(CASE WHEN redacted_query IS NOT NULL AND resolved_at IS NULL THEN TIMESTAMP '{NOW}' ELSE resolved_at END, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM knowledge_gaps")
 def l12(spark, d):
-    at = F.when((F.col("gap_id") % 50 == 0) & F.col("resolved_at").isNull(), now()).otherwise(F.col("resolved_at"))
-    return table(spark, d, "knowledge_gaps").select("gap_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("resolved_at")).distinct()
+    g = hg.resolve_gaps(table(spark, d, "knowledge_gaps"), F.col("redacted_query").isNotNull(), now())
+    return g.select("gap_id", F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss").alias("resolved_at")).distinct()
 
 
 @reg("l14_namespace_upsert", "SELECT namespace_id, coalesce(CASE WHEN namespace_id LIKE 'team-%' THEN 48.0::DOUBLE END, ttl_hours) AS ttl_hours FROM page_namespaces UNION ALL SELECT 'new-one', 1.0::DOUBLE")
 def l14(spark, d):
-    n = table(spark, d, "page_namespaces").select("namespace_id", "ttl_hours", F.lit(0).alias("o"))
-    ch = n.where("namespace_id like 'team-%'").select("namespace_id", F.lit(48.0).alias("ttl_hours"), F.lit(1).alias("o"))
-    ch = ch.unionByName(spark.createDataFrame([("new-one", 1.0, 1)], "namespace_id string, ttl_hours double, o int"))
-    return sy.latest(n.unionByName(ch), ["namespace_id"], F.col("o").desc()).select("namespace_id", "ttl_hours")
+    n = table(spark, d, "page_namespaces").select("namespace_id", "ttl_hours")
+    ch = n.where("namespace_id like 'team-%'").withColumn("ttl_hours", F.lit(48.0))
+    return sy.put_all(n, ch.unionByName(spark.createDataFrame([("new-one", 1.0)], "namespace_id string, ttl_hours double")), ["namespace_id"])
 
 
 @reg("l21_quarantine_sweep", f"""
 SELECT page_id FROM mem_pages WHERE quarantined_at IS NOT NULL AND date_sub('second', quarantined_at, TIMESTAMP '{NOW}') >= 30 * 86400
  AND page_id NOT IN (SELECT page_id FROM assertions WHERE asserted_by <> 'import') AND page_id NOT IN (SELECT from_page_id FROM links WHERE source_kind = 'programmatic')""")
 def l21(spark, d):
-    old = table(spark, d, "mem_pages").where(F.col("quarantined_at").isNotNull() & (F.timestamp_diff("SECOND", F.col("quarantined_at"), now()) >= 30 * 86400)).select("page_id")
+    return hg.sweep(table(spark, d, "mem_pages"), "quarantined_at", now(), 30 * 86400, _held(spark, d), "page_id").select("page_id")
+
+
+def _held(spark, d):
+    """Pages that only the database knows something of."""
     a = table(spark, d, "assertions").where("asserted_by <> 'import'").select("page_id")
-    b = table(spark, d, "links").where("source_kind = 'programmatic'").select(F.col("from_page_id").alias("page_id"))
-    return old.join(a.unionByName(b), "page_id", "left_anti")
+    return a.unionByName(table(spark, d, "links").where("source_kind = 'programmatic'").select(F.col("from_page_id").alias("page_id")))
 
 
 _PLAN = tq.SQL["c24_rename_cascade"]
@@ -202,39 +208,89 @@ def m22(spark, d):
 
 @reg("l24_file_state", "SELECT collection_id, rel_path, max_by(doc_id, (ingested_at, doc_id)) AS doc_id FROM documents GROUP BY 1, 2")
 def l24(spark, d):
-    t = table(spark, d, "documents")
-    return t.groupBy("collection_id", "rel_path").agg(F.max_by("doc_id", F.struct("ingested_at", "doc_id")).alias("doc_id"))
+    return sy.newest(table(spark, d, "documents"), ["collection_id", "rel_path"], "doc_id", "ingested_at", "doc_id")
 
 
 @reg("m02_session_cursor", "SELECT user_id, count(*) AS max_ordinal, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY 1")
 def m02(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("max_ordinal"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_at"))
+    c = cv.cursors(table(spark, d, "events"), "user_id", "ts")
+    return c.withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @reg("m11_expired_leases", "SELECT event_id, CASE WHEN value >= 300 / 4.0 THEN 'failed' ELSE 'pending' END AS state FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 300 SECOND")
 def m11(spark, d):
     e = table(spark, d, "events")
-    last = e.agg(F.max("ts").alias("t")).first()["t"]
-    return e.where(F.col("ts") <= F.lit(str(last)).cast("timestamp_ntz") - F.expr("INTERVAL 300 SECOND")).select("event_id", F.when(F.col("value") >= 75.0, "failed").otherwise("pending").alias("state"))
+    last = F.lit(str(e.agg(F.max("ts").alias("t")).first()["t"])).cast("timestamp_ntz")
+    return sy.leases(e, "ts", last, 300, F.col("value") >= 75.0).select("event_id", "state")
 
 
 @reg("m13_janitor", "SELECT event_type, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1")
 def m13(spark, d):
     e = table(spark, d, "events")
-    last = e.agg(F.max("ts").alias("t")).first()["t"]
-    return e.where(F.col("ts") >= F.lit(str(last)).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAY")).groupBy("event_type").agg(F.count("*").alias("kept"))
+    last = F.lit(str(e.agg(F.max("ts").alias("t")).first()["t"])).cast("timestamp_ntz")
+    return sy.kept_days(e, "ts", last, 30).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
 @reg("m15_claim_jobs", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS rn FROM events WHERE value > 10) WHERE rn <= 4")
 def m15(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "ts", "event_id")
-    return table(spark, d, "events").where("value > 10").withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("event_id")
+    return sy.claim(table(spark, d, "events").where("value > 10"), ["user_id"], 4, F.col("value").desc(), F.col("ts"), F.col("event_id")).select("event_id")
 
 
 @reg("m19_path_batches", "SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(DISTINCT event_type) AS paths FROM events GROUP BY 1, 2")
 def m19(spark, d):
-    e = table(spark, d, "events").select("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"), "event_type")
-    return e.groupBy("user_id", "hour").agg(F.countDistinct("event_type").alias("paths"))
+    return sy.batches(table(spark, d, "events"), ["user_id"], "ts", 3600, "event_type").withColumnRenamed("batch", "hour")
+
+
+@reg("m12_complete_jobs", """WITH j AS (SELECT event_id AS job_id, event_id % 4 AS attempts, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'done' ELSE 'running' END AS state, value FROM events)
+SELECT job_id, CASE WHEN state <> 'running' OR user_odd THEN state WHEN value > 20 THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS state FROM (SELECT *, floor(value) % 2 = 1 AS user_odd FROM j)""")
+def m12(spark, d):
+    """Reports count if the job runs and the attempt is the one seen; reports of an older attempt (odd values) are refused."""
+    e = table(spark, d, "events")
+    first = e.agg(F.min("event_type")).first()[0]
+    jobs = e.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 4).alias("attempts"), F.when(F.col("event_type") == first, "done").otherwise("running").alias("state"))
+    reports = e.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 4 - F.floor("value") % 2).alias("attempts"), (F.col("value") > 20).alias("ok"))
+    return sy.complete(jobs, reports, 3)[0].select("job_id", "state")
+
+
+@reg("m18_orphan_jobs", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def m18(spark, d):
+    owners = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return sy.orphans(table(spark, d, "events"), owners, "user_id").select("event_id")
+
+
+@reg("m23_hash_audit", "SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN 'missing' WHEN d.doc_id % 5 = 0 AND text IS NOT NULL AND text <> '' THEN 'changed' ELSE 'intact' END AS verdict FROM documents d")
+def m23(spark, d):
+    """Every stored text's digest against that of what is found: some files are gone, some have lost their last character."""
+    t = table(spark, d, "documents")
+    stored = t.select("doc_id", F.sha2("text", 256).alias("sha256"))
+    cut = F.when(F.col("doc_id") % 5 == 0, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
+    found = t.where("doc_id % 7 <> 0").select("doc_id", F.sha2(cut, 256).alias("sha256"))
+    return sy.audit(stored, found, "doc_id", "sha256")
+
+
+@reg("m03_closed_sessions", f"""SELECT user_id, session_no, CASE WHEN date_diff('second', CAST(ended AS TIMESTAMP), (SELECT max(ts) FROM events)) >= 86400 THEN strftime(ended, '%Y-%m-%d %H:%M:%S') END AS closed_at FROM (
+WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR date_diff('microsecond', lag(ts) OVER w, ts) >= 43200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g) SELECT user_id, CAST(session_no AS BIGINT) AS session_no, max(ts) AS ended FROM s GROUP BY 1, 2)""")
+def m03(spark, d):
+    e = table(spark, d, "events")
+    last = F.lit(str(e.agg(F.max("ts").alias("t")).first()["t"])).cast("timestamp_ntz")
+    s = cv.close_sessions(cv.idle_sessions(e, "user_id", "ts", 12 * 3600), last, 86400)
+    return s.select("user_id", "session_no", F.date_format("closed_at", "yyyy-MM-dd HH:mm:ss").alias("closed_at"))
+
+
+@reg("l07_resolved_contradictions", f"""WITH c AS (SELECT assertion_id, coalesce(max(confidence), 0) AS c FROM assertions GROUP BY 1)
+SELECT p.low, p.high, CASE WHEN a.c > b.c THEN p.low ELSE p.high END AS kept, CASE WHEN a.c > b.c THEN p.high ELSE p.low END AS closed FROM (SELECT DISTINCT low, high FROM ({tq.SQL['c09_contradictions']})) p JOIN c a ON a.assertion_id = p.low JOIN c b ON b.assertion_id = p.high""")
+def l07(spark, d):
+    a = table(spark, d, "assertions")
+    return hg.resolve_contradictions(hg.contradictions(a).select("low", "high").distinct(), a, "2025-01-01")[0]
+
+
+@reg("l25_restored_pages", "SELECT page_id, quarantined_at IS NOT NULL AND page_id % 2 = 0 AS quarantined FROM mem_pages")
+def l25(spark, d):
+    """Pages with odd ids come back from quarantine: every slug is unique, so no place is taken."""
+    p = table(spark, d, "mem_pages")
+    back, _ = hg.restore(p, p.where("page_id % 2 = 1").select("page_id"), ["collection_id", "namespace_id", "slug"])
+    return back.select("page_id", F.col("quarantined_at").isNotNull().alias("quarantined"))
 
 
 @reg("n19_mmr")

@@ -739,8 +739,7 @@ def a11_all(spark, d):
 
 @reg("a15_active_import", "SELECT collection_id, rel_path, doc_id, rn = 1 AS is_active FROM (SELECT *, row_number() OVER (PARTITION BY collection_id, rel_path ORDER BY ingested_at DESC, doc_id DESC) AS rn FROM documents)")
 def a15(spark, d):
-    w = Window.partitionBy("collection_id", "rel_path").orderBy(F.col("ingested_at").desc(), F.col("doc_id").desc())
-    return table(spark, d, "documents").select("collection_id", "rel_path", "doc_id", (F.row_number().over(w) == 1).alias("is_active"))
+    return sy.rotate(table(spark, d, "documents"), ["collection_id", "rel_path"], "doc_id", "ingested_at", "doc_id").select("collection_id", "rel_path", "doc_id", "is_active")
 
 
 @reg("a16_prune_imports", f"""
@@ -754,12 +753,12 @@ def a16(spark, d):
 
 @reg("a17_expired_imports", f"SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND date_sub('day', ingested_at, TIMESTAMP '{NOW}') > 900")
 def a17(spark, d):
-    return table(spark, d, "documents").where((F.col("doc_id") % 10 != 0) & (F.timestamp_diff("DAY", F.col("ingested_at"), now()) > 900)).select("doc_id")
+    return sy.expired(table(spark, d, "documents"), F.col("doc_id") % 10 == 0, F.timestamp_diff("DAY", F.col("ingested_at"), now()), 900).select("doc_id")
 
 
 @reg("a18_latest_sidecar", "SELECT page_id, source_ref, max(assertion_id) AS assertion_id FROM assertions WHERE source_ref <> '' GROUP BY 1, 2")
 def a18(spark, d):
-    return table(spark, d, "assertions").where("source_ref <> ''").groupBy("page_id", "source_ref").agg(F.max("assertion_id").alias("assertion_id"))
+    return sy.newest(table(spark, d, "assertions").where("source_ref <> ''"), ["page_id", "source_ref"], "assertion_id", "assertion_id")
 
 
 @reg("a04_ignore_globs", "SELECT doc_id FROM documents WHERE NOT regexp_matches(rel_path, '(^|/)[.]git/|(^|/)node_modules/|[.]tmp$|^(notes|archive)/')")
@@ -830,23 +829,23 @@ def m08(spark, d):
 
 @reg("m07_debounce", "SELECT user_id, event_type, strftime(max(ts) + INTERVAL 5 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS due FROM events GROUP BY 1, 2")
 def m07(spark, d):
-    g = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("t"))
-    return g.select("user_id", "event_type", F.date_format(F.col("t") + F.expr("INTERVAL 5 SECOND"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("due"))
+    g = sy.debounce(table(spark, d, "events"), ["user_id", "event_type"], "ts", 5)
+    return g.select("user_id", "event_type", F.date_format("due", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("due"))
 
 
 @reg("m17_latest_job", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def m17(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return sy.newest(table(spark, d, "events"), ["user_id"], "event_id", "ts", "event_id")
 
 
 @reg("m01_turn_ordinals", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events", longs=('ordinal',))
 def m01(spark, d):
-    return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("ordinal"))
+    return cv.ordinals(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "ordinal")
 
 
 @reg("m10_claim_next", "SELECT event_type, min_by(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 20 GROUP BY 1")
 def m10(spark, d):
-    return table(spark, d, "events").where("value > 20").groupBy("event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return sy.claim(table(spark, d, "events").where("value > 20"), ["event_type"], 1, F.col("ts"), F.col("event_id")).select("event_type", "event_id")
 
 
 @reg("l01_fact_bands", """
@@ -884,9 +883,9 @@ def t4(spark, d):
     return o.join(l_, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate")), "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@reg("t22_customers_without_orders", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@reg("t22_customers_without_late_orders", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-01-01')")
 def t22(spark, d):
-    return table(spark, d, "customer").where("c_acctbal > 0").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, d, "customer").where("c_acctbal > 0").join(table(spark, d, "orders").where("o_orderdate >= timestamp_ntz '1998-01-01 00:00:00'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @reg("t18_largest_orders", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3", longs=('rn',))
