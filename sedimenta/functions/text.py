@@ -12,18 +12,20 @@ FOLDER_TYPES = {
 }
 #: Named-entity verbs: predicate, pattern with subject and object groups (fixed values).
 _NAME = r"[A-Z][A-Za-z0-9'&-]*(?: [A-Z][A-Za-z0-9'&-]*)*"
+#: A match begins at the beginning of a word.
+_START = r"(?:^|[^A-Za-z0-9_])"
 ASSERTION_PATTERNS = {
-    "works_at": rf"({_NAME}) works at ({_NAME})",
-    "is_a": rf"({_NAME}) is an? ([A-Za-z][A-Za-z0-9'&-]*(?: [A-Za-z][A-Za-z0-9'&-]*)*)",
-    "founded": rf"({_NAME}) founded ({_NAME})",
+    "works_at": rf"{_START}({_NAME}) works at ({_NAME})",
+    "is_a": rf"{_START}({_NAME}) is an? ([A-Za-z][A-Za-z0-9'&-]*(?: [A-Za-z][A-Za-z0-9'&-]*)*)",
+    "founded": rf"{_START}({_NAME}) founded ({_NAME})",
 }
 _SUBJECT, _OBJECT = r"[A-Z][A-Za-z0-9_'-]*(?:\s+[A-Z][A-Za-z0-9_'-]*)*", r"[A-Z][A-Za-z0-9_'&-]*(?:\s+[A-Z][A-Za-z0-9_'&-]*)*"
 ENTITY_PATTERNS = {
-    "works_at": rf"({_SUBJECT})\s+works\s+at\s+({_OBJECT})",
-    "founded": rf"({_SUBJECT})\s+founded\s+({_OBJECT})",
-    "invested_in": rf"({_OBJECT})\s+invested\s+in\s+({_OBJECT})",
-    "acquired": rf"({_OBJECT})\s+acquired\s+({_OBJECT})",
-    "leads": rf"({_SUBJECT})\s+leads\s+({_OBJECT})",
+    "works_at": rf"{_START}({_SUBJECT})\s+works\s+at\s+({_OBJECT})",
+    "founded": rf"{_START}({_SUBJECT})\s+founded\s+({_OBJECT})",
+    "invested_in": rf"{_START}({_OBJECT})\s+invested\s+in\s+({_OBJECT})",
+    "acquired": rf"{_START}({_OBJECT})\s+acquired\s+({_OBJECT})",
+    "leads": rf"{_START}({_SUBJECT})\s+leads\s+({_OBJECT})",
 }
 
 

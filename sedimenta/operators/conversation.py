@@ -82,7 +82,7 @@ def merged_jobs(requests: DataFrame, key: str, trigger: str, at: str, order: str
 
 def resolve_facts(facts: DataFrame, heads: DataFrame, keys: list[str], cosine: Column, drop_above: float = 0.92, supersede_from: float = 0.4) -> DataFrame:
     """facts + (resolution, head_id): coexist without a head, ambiguous with several, else by the bands of the cosine with the one head."""
-    n = heads.groupBy(*keys).agg(F.count("*").alias("n_heads"), F.min("head_id").alias("head_id"), F.first("head_embedding").alias("head_embedding"))
+    n = heads.groupBy(*keys).agg(F.count("*").alias("n_heads"), F.min("head_id").alias("head_id"), F.min_by("head_embedding", "head_id").alias("head_embedding"))
     met = facts.join(n, keys, "left")
     one = F.when(cosine > drop_above, "drop").when(cosine >= supersede_from, "supersede").otherwise("coexist")
     return met.withColumn("resolution", F.when(F.col("n_heads").isNull(), "coexist").when(F.col("n_heads") > 1, "ambiguous").otherwise(one)).drop("head_embedding")

@@ -26,8 +26,8 @@ def strictly_overlap(a: str, b: str) -> Column:
 def contradictions(assertions: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     """(low, high, subject, predicate, description): pairs of assertions of one subject and predicate with different objects while both hold.
 
-    Only subject and predicate meet in the join; equal objects are folded before, so a subject said often to have one object makes no pairs. recorded:
-    (low, high) pairs known already, resolved ones too.
+    Only subject and predicate meet in the join; repeated rows are folded before. The rows of the result are the contradicting pairs, so a subject of
+    which much is said makes as many. recorded: (low, high) pairs known already, resolved ones too.
     """
     one = assertions.select("assertion_id", "page_id", F.lower(tx.strip(F.col("subject"))).alias("subject"), F.lower(tx.strip(F.col("predicate"))).alias("predicate"), "object_text", "valid_from", "valid_until").distinct()
     a, b = one.alias("a"), one.alias("b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 LEAST_BYTES = 64
 
 
@@ -35,6 +37,7 @@ def infer_renames(missing: DataFrame, new: DataFrame, native: DataFrame | None =
     missing, new: key, uuid, sha256, size.
     """
     out = None
+    missing, new = materialize(missing, "missing"), materialize(new, "new")  # read by every stage
     stages = [("native", None), ("uuid", "uuid"), ("hash", "sha256")]
     for how, by in stages:
         if how == "native":

@@ -88,12 +88,14 @@ def export_paths(pages: DataFrame, collections: DataFrame) -> DataFrame:
 
 
 def write_files(rendered: DataFrame, root: str, path_col: str = "out_path", text_col: str = "text") -> None:
-    """One file per row, written by the tasks themselves."""
+    """One file per row, written by the tasks themselves: root must be a folder that all executors see. A path that leaves it raises ValueError."""
     import os
 
     def write(rows) -> None:
         for r in rows:
-            full = os.path.join(root, r[path_col])
+            full = os.path.normpath(os.path.join(root, r[path_col]))
+            if os.path.commonpath([os.path.normpath(root), full]) != os.path.normpath(root):
+                raise ValueError(f"{r[path_col]} leads out of the folder")
             os.makedirs(os.path.dirname(full), exist_ok=True)
             with open(full + ".part", "w", encoding="utf-8", newline="") as f:
                 f.write(r[text_col])
