@@ -59,13 +59,16 @@ def dangling(rows: DataFrame, ref: str, pages: DataFrame, key: str = "page_id")
 
 
 def dangling_references(links: DataFrame, assertions: DataFrame, pages: DataFrame) -> DataFrame:
-    """(problem, id): links with an end, and assertions with a page or a predecessor, that doesn't exist."""
-    a = assertions.select("assertion_id", "page_id", "supersedes_id").distinct()
-    known = a.select(F.col("assertion_id").alias("supersedes_id")).distinct()
-    parts = [dangling(links, end, pages).select(F.lit("dangling link").alias("problem"), F.col("link_id").alias("id")) for end in ("from_page_id", "to_page_id")]
-    parts.append(dangling(a, "page_id", pages).select(F.lit("dangling assertion").alias("problem"), F.col("assertion_id").alias("id")))
-    parts.append(dangling(a, "supersedes_id", known, "supersedes_id").select(F.lit("dangling predecessor").alias("problem"), F.col("assertion_id").alias("id")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    """(problem, id): links with an end, and assertions with a page or (where they have that column) a predecessor, that doesn't exist."""
+    found = [dangling(links, end, pages).select(F.lit("dangling link").alias("problem"), F.col("link_id").alias("id")) for end in ("from_page_id", "to_page_id")]
+    found.append(dangling(assertions, "page_id", pages).select(F.lit("dangling assertion").alias("problem"), F.col("assertion_id").alias("id")))
+    if "supersedes_id" in assertions.columns:
+        known = assertions.select(F.col("assertion_id").alias("supersedes_id")).distinct()
+        found.append(dangling(assertions, "supersedes_id", known, "supersedes_id").select(F.lit("dangling predecessor").alias("problem"), F.col("assertion_id").alias("id")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def missing_field(required: dict[str, Column]) -> Column:
